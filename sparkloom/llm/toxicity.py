@@ -22,25 +22,52 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 
 
+#: Letters of the beginnings that count as features beside whole words, so that inflected forms share evidence.
+BEGINNING = 4
+
+
+def features(token: str) -> tuple[str, ...]:
+    """The word itself, and for a longer one its beginning with a mark."""
+    return (token, token[:BEGINNING] + "~") if len(token) > BEGINNING else (token,)
+
+
+class _Logits(dict):
+    """The summed weight of a token's features, computed when first asked for; not a number for a sentence's end."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__(dict.fromkeys(ENDS, np.nan))
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+            self.update(dict.fromkeys(ENDS, np.nan))
+        out = self[token] = sum(self.weights.get(f, 0.0) for f in features(token))
+        return out
+
+
 class Model:
-    """Word weights and a bias; score() gives a text's noisy-or."""
+    """Feature weights and a bias; score() gives a text's noisy-or."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.ids = {w: i for i, w in enumerate(weights)} | dict.fromkeys(ENDS, -2)
-        self.values = np.array([*weights.values(), 0.0])  # the last is for words without a weight
+        self.logits = _Logits(weights)
+
+    def __reduce__(self):
+        return Model, (self.weights, self.bias)
 
     def sentence_logits(self, text: str | None) -> np.ndarray:
-        """A logit for each sentence that has a word."""
+        """A logit for each sentence that has a word; a word that follows itself counts once."""
         found = TOKEN.findall(text.lower()) if text else []
-        get = self.ids.get
-        codes = np.array([get(t, -1) for t in found], dtype=np.int32)
-        ends = codes == -2
-        sentence, word = np.cumsum(ends), ~ends
+        value = np.fromiter(map(self.logits.__getitem__, found), dtype=float, count=len(found))
+        ends = np.isnan(value)
+        word = ~ends
         if not word.any():
             return np.empty(0)
-        n = np.bincount(sentence[word])
-        return self.bias + np.bincount(sentence[word], self.values[codes[word]])[n > 0]
+        sentence = np.cumsum(ends)[word]
+        value[1:][value[1:] == value[:-1]] = 0.0
+        n = np.bincount(sentence)
+        return self.bias + np.bincount(sentence, value[word])[n > 0]
 
     def score(self, text: str | None) -> float:
         """1 - product of (1 - p) over sentences; 0 for a text without words."""
@@ -62,8 +89,8 @@ class Model:
         return out
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 4000, rounds: int = 250, l2: float = 1e-3, least_docs: int = 3) -> Model:
-    """Learns weights of the `most_words` words whose document counts tell most, by Adam on the whole sample."""
+def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, rounds: int = 150, l2: float = 1e-4, least_docs: int = 3) -> Model:
+    """Learns weights of the `most_words` features whose document counts tell most, by Adam on the whole sample."""
     y = np.asarray(toxic, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -71,8 +98,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 4000, roun
     split, counts = [], (Counter(), Counter())
     for t, label in zip(texts, y, strict=True):
         found = TOKEN.findall(t.lower()) if t else []
-        split.append(found)
-        counts[int(label)].update(set(found) - ENDS)
+        split.append([x for i, x in enumerate(found) if i == 0 or x != found[i - 1] or x in ENDS])
+        counts[int(label)].update({f for x in set(found) - ENDS for f in features(x)})
     n0, n1 = len(y) - y.sum(), y.sum()
     told = []
     for w in counts[1].keys() | counts[0].keys():
@@ -81,21 +108,26 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 4000, roun
             p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
             told.append((abs(p - q) * abs(np.log(p / q)), w))
     chosen = [w for _, w in sorted(told, reverse=True)[:most_words]]
-    ids = {w: i for i, w in enumerate(chosen)} | dict.fromkeys(ENDS, -2)
+    ids = {w: i for i, w in enumerate(chosen)}
 
     sentence_of, word_of, doc_of = [], [], []
     total = 0
     plain = np.zeros(len(y))  # sentences of a document in which no chosen word stands: all have the bias as logit
     for d, found in enumerate(split):
-        codes = np.array([ids.get(t, -1) for t in found], dtype=np.int64)
-        ends = codes == -2
-        sentence = np.cumsum(ends)
-        there = np.unique(sentence[~ends])
-        used = codes >= 0
-        known = np.unique(sentence[used])
+        sentence, there, known, here, codes = 0, set(), [], [], []
+        for t in found:
+            if t in ENDS:
+                sentence += 1
+                continue
+            there.add(sentence)
+            for f in features(t):
+                if (i := ids.get(f)) is not None:
+                    here.append(sentence)
+                    codes.append(i)
+        known = np.unique(here)
         plain[d] = len(there) - len(known)
-        sentence_of.append(np.searchsorted(known, sentence[used]) + total)
-        word_of.append(codes[used])
+        sentence_of.append(np.searchsorted(known, here).astype(np.int64) + total)
+        word_of.append(np.array(codes, dtype=np.int64))
         doc_of.append(np.full(len(known), d))
         total += len(known)
     s, w, doc = np.concatenate(sentence_of), np.concatenate(word_of), np.concatenate(doc_of)
@@ -117,7 +149,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 4000, roun
     return Model({c: float(x) for c, x in zip(chosen, theta, strict=False) if abs(x) > 0.05}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 16_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     """From at most `most` labelled documents, by a hash of their ids, of those that are not held out."""
     chosen = common.sampled_labels(labels.where(common.crc32_mod(F.col("doc_id"), 5) != 0), "toxic", most)
     # Of rows that share an id, one text is taken.
