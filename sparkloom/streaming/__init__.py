@@ -1,0 +1 @@
+"""Nothing here: the dialect has no streams, windows in event time or state."""
