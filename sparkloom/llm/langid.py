@@ -37,7 +37,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         letter[0x30000:0x31350] = True  # ideographs
         powers = np.ones(256, dtype=np.uint64)
         for i in range(1, 256):
-            powers[i] = powers[i - 1] * _BASE
+            powers[i:] *= _BASE
         _TABLES.update(lower=lower, letter=letter, powers=powers)
     return _TABLES["lower"], _TABLES["letter"], _TABLES["powers"]
 
