@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: White space beyond ASCII, as tokenizers' \s has it.
 _WIDE_SPACE = re.compile("[\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_BESIDE_SPACE = [a for c in "\t\n\x0b\x0c\r" for a in (c + " ", " " + c)] + ["  "]
 _LOADED: dict[tuple, "UnitEncoder"] = {}
 
 
@@ -17,48 +19,72 @@ class UnitEncoder:
     """Encodes with a `tokenizers` file, remembering the ids of units.
 
     Both pre-tokenizers in use start a new token at every blank that has no white space beside it, so a text without
-    doubled white space is cut there. Any other text is encoded in one go. A worker keeps at most `most` units and
-    forgets all of them beyond that, which changes no result.
+    doubled white space is cut there. Any other text is encoded in one go. A worker keeps up to `most` new units and
+    as many older ones, and forgets those not asked for since, which changes no result.
     """
 
-    def __init__(self, path: str, keep_blank: bool, width: str, most: int = 500_000):
+    def __init__(self, path: str, keep_blank: bool, width: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep_blank, self.width, self.most, self.known = keep_blank, np.dtype(width), most, {}
+        self.keep_blank, self.code, self.most = keep_blank, {2: "H", 4: "I"}[np.dtype(width).itemsize], most
+        self.known, self.older = {}, {}
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        out = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
 
     def _whole(self, text: str) -> bool:
         if self.keep_blank:
-            return any(x in text for x in _BESIDE_SPACE) or not text.isascii() and bool(_WIDE_SPACE.search(text))
+            doubled = "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in "\n\t\r\x0b\x0c")
+            return doubled or not text.isascii() and bool(_WIDE_SPACE.search(text))
         return False
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian integers of `width`; null counts as empty."""
+        gc.disable()  # nothing here makes cycles, and a collection would walk all that is remembered
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known = {}
-        known, cut, new = self.known, [], set()
-        for t in texts:
+            self.known, self.older = {}, self.known
+        known, older, out, waiting, new = self.known, self.older, [], [], set()
+        for i, t in enumerate(texts):
             if not t:
-                cut.append(())
+                out.append(b"")
             elif self._whole(t):
-                cut.append(self._encode([t])[0])
+                out.append(self._encode([t])[0])
             else:
                 parts = t.split(" ")
                 if self.keep_blank:
                     parts[0] = (parts[0],)  # the first has no blank before it, and so a key of its own
-                cut.append(parts)
-                new.update(p for p in parts if p not in known)
-        new = list(new)
+                found = list(map(known.get, parts))
+                try:
+                    out.append(b"".join(found))
+                except TypeError:  # some are not known yet
+                    holes = [(k, parts[k]) for k, ids in enumerate(found) if ids is None]
+                    new.update([p for _, p in holes])
+                    waiting.append((i, found, holes))
+                    out.append(None)
+        known.update((p, older[p]) for p in new if p in older)
+        new = [p for p in new if p not in older]
         if self.keep_blank:
             known.update(zip(new, self._encode([p[0] if isinstance(p, tuple) else " " + p for p in new]), strict=True))
         else:
             known.update(zip(new, self._encode(new), strict=True))
-        return [c if isinstance(c, bytes) else b"".join([known[p] for p in c]) for c in cut]
+        for i, found, holes in waiting:
+            for k, p in holes:
+                found[k] = known[p]
+            out[i] = b"".join(found)
+        return out
 
 
 def encoder(path: str, keep_blank: bool, width: str) -> UnitEncoder:
