@@ -169,17 +169,24 @@ _SUMMED = "doc_id long, n_tokens long, ids_crc32 long"
 
 
 def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of documents with their chunks' facts in order: the crc of all ids, once lengths and Merkle root are found true."""
+    """Of documents with their chunks' facts in order: the crc of all ids, once lengths and Merkle root are found true.
+
+    The chunks of a batch are shifted to their places all at once.
+    """
     for part in parts:
-        out = []
-        for doc, n_tokens, root, leaves in zip(part["doc_id"], part["n_tokens"], part["root"], part["leaves"], strict=True):
-            if sum(x["n"] for x in leaves) != n_tokens or merkle([bytes(x["digest"]) for x in leaves]) != bytes(root):
-                raise RuntimeError(f"document {doc} can't be rebuilt from the store")
-            n = np.array([x["n"] for x in leaves], dtype=np.int64)
-            after = n[::-1].cumsum()[::-1] - n
-            crc = shifted(np.array([x["crc"] for x in leaves], dtype=np.uint32), 4 * after)
-            out.append((doc, n_tokens, int(np.bitwise_xor.reduce(crc, initial=0))))
-        yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+        if not len(part):
+            continue
+        count = part["n"].map(len).to_numpy()
+        n, crc = np.concatenate(part["n"].tolist()).astype(np.int64), np.concatenate(part["crc"].tolist()).astype(np.uint32)
+        first = np.cumsum(count) - count
+        total, through = np.add.reduceat(n, first), np.cumsum(n)
+        after = np.repeat(through[first + count - 1], count) - through
+        wrong = total != part["n_tokens"].to_numpy()
+        for i, (root, digests) in enumerate(zip(part["root"], part["digest"], strict=True)):
+            if wrong[i] or merkle([bytes(x) for x in digests]) != bytes(root):
+                raise RuntimeError(f"document {part['doc_id'].iloc[i]} can't be rebuilt from the store")
+        sums = np.bitwise_xor.reduceat(shifted(crc, 4 * after), first)
+        yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": part["n_tokens"], "ids_crc32": sums.astype(np.int64)})
 
 
 def _references(recipes: DataFrame) -> DataFrame:
@@ -195,7 +202,7 @@ def read_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     leaves = _references(recipes).join(facts, "digest").groupBy("_row", "doc_id", "n_tokens", "root")
     docs = leaves.agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "digest"))).alias("leaves"))
-    summed = common.stored(docs.select("doc_id", "n_tokens", "root", "leaves").mapInPandas(_summed, _SUMMED), "sums")
+    summed = common.stored(docs.select("doc_id", "n_tokens", "root", "leaves.n", "leaves.crc", "leaves.digest").mapInPandas(_summed, _SUMMED), "sums")
     return common.running_total(summed, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
