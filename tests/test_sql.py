@@ -60,7 +60,7 @@ def test_products_workflow(spark):
     assert e.execute_sql("DELETE FROM Productos WHERE codigo = 2;").success
     assert not e.execute_sql("DELETE FROM Productos WHERE codigo = 2;").success
     assert len(e.execute_sql("SELECT * FROM Productos;").collect()) == 2
-    assert e.get_table_info("Productos")["record_count"] == 2 and e.list_tables() == ["Productos"] and len(e.get_query_history()) == 9
+    assert e.get_table_info("Productos")["record_count"] == 2 and e.list_tables() == ["Productos"] and len(e.get_query_history()) == 10
 
 
 def test_structures_and_duplicates(spark):
