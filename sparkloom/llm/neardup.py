@@ -24,6 +24,8 @@ from sparkloom.llm.components import components
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Classes of a band that are compared at once where it holds several components.
 BLOCK = 1000
+#: Shingles of a cluster that are compared at once on full sets, on average.
+SET_BLOCK = 250_000
 #: A signature's share of equal minima below which two sets are taken to be under 0.75: more than five deviations off.
 SURELY_UNDER = 0.55
 _MASK = np.uint64(2**64 - 1)
@@ -114,32 +116,85 @@ def _sizes_allow(a: str, b: str) -> F.Column:
     return (100 * F.col(a) >= 75 * F.col(b)) & (100 * F.col(b) >= 75 * F.col(a))
 
 
-def _across(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that lie in different components and may be linked."""
+def _merges(label: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs (i, j) that join all rows that `near(i)` brings together; changes `label` so that joined rows have the same."""
     out = []
-    left, right = part[part["side"] == 0], part[part["side"] == 1]
-    if keys[1] == keys[2]:
-        right = left
-    if len(left) and len(right):
-        sketches = np.stack([np.frombuffer(x, dtype=np.uint8) for x in right["sketch"]])
-        n, label, node = (right[c].to_numpy() for c in ("n_shingles", "label", "node"))
-        for row in left.itertuples(index=False):
-            may = (label != row.label) & (100 * n >= 75 * row.n_shingles) & (100 * row.n_shingles >= 75 * n)
+    for i in range(len(label)):
+        at = near(i)
+        at = at[label[at] != label[i]]
+        while len(at):
+            j = int(at[0])
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+            at = at[label[at] != label[i]]
+    return out
+
+
+def _pairs_of(node: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return np.sort(node[at], axis=1)
+
+
+def _in_bands(part: pd.DataFrame) -> pd.DataFrame:
+    """Of some bands' blocks: pairs (u, v) that join all classes which may be linked across components; at most one a row."""
+    out = [np.empty((0, 2), dtype=np.int64)]
+    part = part.sort_values(["band", "i", "j"], ignore_index=True)
+    of = part[["band", "i", "j"]].to_numpy(dtype=np.int64)
+    bounds = np.concatenate([[0], np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1, [len(part)]])
+    sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part), -1)
+    n, label, node, side = (part[c].to_numpy() for c in ("n_shingles", "label", "node", "side"))
+    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+        own, size, rows = label[a:z], n[a:z], sketch[a:z]
+        # Two blocks are compared with one another, one block with itself.
+        other = None if of[a, 1] == of[a, 2] else side[a:z]
+
+        def near(i: int, own=own, size=size, rows=rows, other=other) -> np.ndarray:
+            may = (own != own[i]) & (100 * size >= 75 * size[i]) & (100 * size[i] >= 75 * size)
+            if other is not None:
+                may &= other != other[i]
             at = np.flatnonzero(may)
-            if len(at):
-                same = (sketches[at] == np.frombuffer(row.sketch, dtype=np.uint8)).sum(axis=1)
-                near = at[same >= SURELY_UNDER * BANDS * ROWS]
-                out.append(pd.DataFrame({"u": np.minimum(node[near], row.node), "v": np.maximum(node[near], row.node)}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+            return at[(rows[at] == rows[i]).sum(axis=1) >= SURELY_UNDER * BANDS * ROWS] if len(at) else at
+
+        out.append(_pairs_of(node[a:z], _merges(np.arange(z - a), near)))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+
+def _in_cluster(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair of a cluster's blocks: pairs of 0.75 or more on full sets that join all components so linked there."""
+    part = part.drop_duplicates("node", ignore_index=True)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in part["hashes"]]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), dtype=bool)
+
+    def near(i: int) -> np.ndarray:
+        mark[ids[ends[i] - size[i] : ends[i]]] = True
+        shared = np.add.reduceat(mark[ids].astype(np.int64), ends - size)
+        mark[ids[ends[i] - size[i] : ends[i]]] = False
+        return np.flatnonzero(100 * shared >= 75 * (size + size[i] - shared))
+
+    return pd.DataFrame(_pairs_of(part["node"].to_numpy(), _merges(np.unique(part["label"], return_inverse=True)[1], near)), columns=["u", "v"])
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Deals each key's rows (with their number of `blocks`) to all pairs i <= j of its blocks; `side` tells j's rows from i's."""
+    own = rows.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = [c for c in rows.columns if c != "blocks"]
+    return own.select(*others, F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), (F.col("_block") > F.col("_other")).cast("int").alias("side"))
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, hashes): the full shingle sets of the nodes in `needed`; of rows that share an id, the least set."""
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(needed.select("node").distinct(), "node").mapInPandas(_hash_sets, "node long, hashes binary")
+    sets = common.stored(texts, "sets")
+    return sets.groupBy("node").agg(F.min("hashes").alias("hashes")) if docs_repeat(sets) else sets
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (u, v), those whose full shingle sets have a similarity of 0.75 or more."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # Rows that share an id may differ in text; a node is the set of the row with the least set key among them.
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(needed, "node").mapInPandas(_hash_sets, "node long, hashes binary")
-    sets = common.stored(texts, "sets")
-    sets = sets.groupBy("node").agg(F.min("hashes").alias("hashes")) if docs_repeat(sets) else sets
+    sets = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     return both.where(_linked("a", "b")).select("u", "v")
 
@@ -163,9 +218,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = with_set.join(classes, "set_key").where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sketch", "bands")
     nodes = common.stored(nodes, "nodes")
 
-    banded = nodes.select("node", "n_shingles", "sketch", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("u")).where("m > 1")
-    pairs = banded.select("band", F.col("node").alias("v")).join(leaders, "band").where("u < v").select("u", "v").distinct()
+    # Signatures stay at home: only (band, node) is dealt, and only bands of several classes are kept.
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    crowded = common.stored(banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bands")
+    # A band's leaders are its least node and the one with most company in all of its bands: the text that edited copies
+    # stem from has more than any copy, so they link with it even where they are under 0.75 among themselves.
+    company = crowded.groupBy("node").agg(F.sum("m").alias("company"))
+    leaders = crowded.join(company, "node").groupBy("band").agg(F.min("node").alias("least"), F.min(F.struct((-F.col("company")).alias("c"), "node"))["node"].alias("central"))
+    led = crowded.join(leaders, "band").select("node", F.explode(F.array_distinct(F.array("least", "central"))).alias("lead")).where("lead <> node")
+    pairs = led.select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
     facts = nodes.select("node", F.col("n_shingles").alias("n"), "sketch")
     pairs = pairs.join(facts.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v").join(facts.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
     pairs = common.stored(pairs.where(_sizes_allow("nu", "nv")).where(_may_link("su", "sv")).select("u", "v"), "pairs")
@@ -173,16 +234,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = common.stored(_verified(docs, pairs).union(member.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).where("u < v")), "links")
     found = common.stored(components(links), "components")
 
-    # Bands that hold more than one component: compare across components only.
-    labelled = banded.join(found, "node", "left").select("band", "node", "n_shingles", "sketch", F.coalesce("component", "node").alias("label"))
+    # Bands that still hold more than one component: by signatures, gather the classes that may be linked across them
+    # into clusters, then compare a cluster's full sets. Either step puts out joining pairs only, so no more than rows.
+    labelled = crowded.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("band").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(mixed, "band").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("_other", other).select("band", "node", "n_shingles", "sketch", "label", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), (F.col("_block") > F.col("_other")).cast("int").alias("side"))
-    across = rows.groupBy("band", "i", "j").applyInPandas(_across, "u long, v long").distinct()
-    across = common.stored(across.join(pairs, ["u", "v"], "left_anti"), "across")
+    rows = common.stored(_blocked(labelled.join(mixed, "band")), "mixed")
+    # Many small bands share a task's batch; its rows stay within a few blocks however many bands there are.
+    batches = rows.count() // (4 * BLOCK) + 1
+    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("_batch", F.pmod(F.xxhash64("band", "i", "j"), F.lit(batches)))
+    across = common.stored(rows.groupBy("_batch").applyInPandas(_in_bands, "u long, v long"), "across")
     if not across.isEmpty():
-        found = common.stored(components(links.union(_verified(docs, across))), "components")
+        clusters = components(across)
+        near = common.stored(clusters.join(nodes.select("node", "n_shingles"), "node").join(found.withColumnRenamed("component", "label"), "node", "left").select("node", "n_shingles", F.col("component").alias("cluster"), F.coalesce("label", "node").alias("label")), "clusters")
+        blocks = near.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).cast("int").alias("blocks"))
+        rows = _blocked(near.drop("n_shingles").join(blocks, "cluster")).join(_sets(docs, near), "node")
+        more = rows.groupBy("cluster", "i", "j").applyInPandas(_in_cluster, "u long, v long")
+        found = common.stored(components(links.union(more)), "components")
 
     # All rows of one doc_id share its component: every member id is a node of the links or alone.
     at = found.select(F.col("node").alias("doc_id"), "component")
