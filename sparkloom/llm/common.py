@@ -44,9 +44,19 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Cuts lineage: writes the rows as a table in the shared folder and reads them back."""
+#: Narrow rows (a few longs) that a file of a scratch table holds, where the caller knows a bound on their number.
+ROWS_A_FILE = 50_000
+
+
+def stored(df: DataFrame, what: str = "table", at_most: int | None = None) -> DataFrame:
+    """Cuts lineage: writes the rows as a table in the shared folder and reads them back.
+
+    `at_most`: a bound on the number of rows, which are narrow; a small table then has few files even where its last
+    shuffle has many partitions, for each file costs a task, a listing and an opening at every later read.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
+    if at_most is not None:
+        df = df.coalesce(at_most // ROWS_A_FILE + 2)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,9 +29,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     loss; the rounds end when a round changes no link, which a count and a sum of hashes show.
     """
     edges, before = common.stored(edges.select("u", "v").where("u < v").distinct(), "links"), None
+    rows = edges.count()
     for _ in range(most_rounds):
-        edges = common.stored(_small_star(_large_star(edges)), "links")
+        # A round never adds links: each of either star has the link or the node that it stems from.
+        edges = common.stored(_small_star(_large_star(edges)), "links", rows)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
+        rows = now[0]
         if now == before:
             break
         before = now

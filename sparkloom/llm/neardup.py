@@ -212,15 +212,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = common.stored(docs.mapInPandas(_signed, SIGNED), "signed")
+    n = signed.count()
     with_set = signed.where("set_key is not null and doc_id is not null")
     classes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    member = common.stored(with_set.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node").distinct(), "members")
+    member = common.stored(with_set.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node").distinct(), "members", n)
     nodes = with_set.join(classes, "set_key").where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sketch", "bands")
     nodes = common.stored(nodes, "nodes")
 
     # Signatures stay at home: only (band, node) is dealt, and only bands of several classes are kept.
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    crowded = common.stored(banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bands")
+    crowded = common.stored(banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bands", n * BANDS)
     # A band's leaders are its least node and the one with most company in all of its bands: the text that edited copies
     # stem from has more than any copy, so they link with it even where they are under 0.75 among themselves.
     company = crowded.groupBy("node").agg(F.sum("m").alias("company"))

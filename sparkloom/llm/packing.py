@@ -20,6 +20,8 @@ from sparkloom.llm.common import INT, LONG
 
 CAPACITY = 2048
 END_ID = 0
+#: Units that a worker remembers, twice; idle workers of earlier stages keep theirs in memory.
+KNOWN = 300_000
 PIECES = common.schema(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG)
 PACKED = common.schema(**{f.name: f.dataType for f in PIECES}, sequence_id=LONG, offset=LONG)
 
@@ -134,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(tokenizer, True, "<u4").encode
+        encode = tokens.encoder(tokenizer, True, "<u4", KNOWN).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for part in parts:
             docs, texts = part["doc_id"].tolist(), part["text"].tolist()

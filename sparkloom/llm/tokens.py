@@ -87,11 +87,11 @@ class UnitEncoder:
         return out
 
 
-def encoder(path: str, keep_blank: bool, width: str) -> UnitEncoder:
+def encoder(path: str, keep_blank: bool, width: str, most: int = 600_000) -> UnitEncoder:
     """One for each worker process; the file is read once."""
-    key = (path, keep_blank, width)
+    key = (path, keep_blank, width, most)
     if key not in _LOADED:
-        _LOADED[key] = UnitEncoder(path, keep_blank, width)
+        _LOADED[key] = UnitEncoder(path, keep_blank, width, most)
     return _LOADED[key]
 
 
