@@ -20,8 +20,6 @@ from sparkloom.llm.common import INT, LONG
 
 CAPACITY = 2048
 END_ID = 0
-#: Units that a worker remembers, twice; idle workers of earlier stages keep theirs in memory.
-KNOWN = 300_000
 PIECES = common.schema(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG)
 PACKED = common.schema(**{f.name: f.dataType for f in PIECES}, sequence_id=LONG, offset=LONG)
 
@@ -136,22 +134,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(tokenizer, True, "<u4", KNOWN).encode
+        encoder = tokens.encoder(tokenizer, True, "<u4")
         end = np.array([end_id], dtype="<u4").tobytes()
-        for part in parts:
-            docs, texts = part["doc_id"].tolist(), part["text"].tolist()
-            for a, z in tokens.in_slices(texts):
-                rows = []
-                for doc, ids in zip(docs[a:z], encode(texts[a:z]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    start, to = 0, n - (n - 1) // capacity * capacity
-                    while start < n:
-                        rows.append((doc, len(rows), start, to - start, zlib.crc32(memoryview(ids)[4 * start : 4 * to])))
-                        start, to = to, to + capacity
-                out = pd.DataFrame(rows, columns=PIECES.names)
-                out["piece"] = (out["start"] + capacity - 1) // capacity
-                yield out.astype({"piece": "int32"})
+        try:
+            for part in parts:
+                docs, texts = part["doc_id"].tolist(), part["text"].tolist()
+                for a, z in tokens.in_slices(texts):
+                    rows = []
+                    for doc, ids in zip(docs[a:z], encoder.encode(texts[a:z]), strict=True):
+                        ids += end
+                        n = len(ids) // 4
+                        start, to = 0, n - (n - 1) // capacity * capacity
+                        while start < n:
+                            rows.append((doc, len(rows), start, to - start, zlib.crc32(memoryview(ids)[4 * start : 4 * to])))
+                            start, to = to, to + capacity
+                    out = pd.DataFrame(rows, columns=PIECES.names)
+                    out["piece"] = (out["start"] + capacity - 1) // capacity
+                    yield out.astype({"piece": "int32"})
+        finally:
+            part = texts = rows = ids = None  # so that their memory goes, too
+            encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 

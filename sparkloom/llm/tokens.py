@@ -10,6 +10,8 @@ from array import array
 
 import numpy as np
 
+from sparkloom.llm import common
+
 #: White space beyond ASCII, as tokenizers' \s has it.
 _WIDE_SPACE = re.compile("[\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _LOADED: dict[tuple, "UnitEncoder"] = {}
@@ -32,6 +34,11 @@ class UnitEncoder:
         self.keep_blank, self.code, self.most = keep_blank, {2: "H", 4: "I"}[np.dtype(width).itemsize], most
         self.known, self.older = {}, {}
 
+    def forget(self) -> None:
+        """Lets go of all units, for a task's end: a worker that Spark keeps for later tasks is then small."""
+        self.known, self.older = {}, {}
+        common.give_back_memory()
+
     def _encode(self, units: list[str]) -> list[bytes]:
         out = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         if sys.byteorder == "big":
@@ -87,11 +94,11 @@ class UnitEncoder:
         return out
 
 
-def encoder(path: str, keep_blank: bool, width: str, most: int = 600_000) -> UnitEncoder:
+def encoder(path: str, keep_blank: bool, width: str) -> UnitEncoder:
     """One for each worker process; the file is read once."""
-    key = (path, keep_blank, width, most)
+    key = (path, keep_blank, width)
     if key not in _LOADED:
-        _LOADED[key] = UnitEncoder(path, keep_blank, width, most)
+        _LOADED[key] = UnitEncoder(path, keep_blank, width)
     return _LOADED[key]
 
 
