@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,14 @@ def give_back_memory() -> None:
         trim(0)
 
 
+def tidily(parts: Iterator) -> Iterator:
+    """The batches of a task, with freed memory given back after each, so that a worker that Spark keeps stays small."""
+    for part in parts:
+        yield part
+        del part
+        give_back_memory()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one of its own is set only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -76,7 +76,7 @@ SIGNED = common.schema(doc_id=LONG, n_shingles=LONG, set_key=BINARY, sketch=BINA
 
 
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
+    for part in common.tidily(parts):
         rows = []
         for doc, text in zip(part["doc_id"], part["text"], strict=True):
             s = shingles(text)
@@ -90,7 +90,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hash_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
+    for part in common.tidily(parts):
         yield pd.DataFrame({"node": part["node"], "hashes": [shingles(t).tobytes() for t in part["text"]]})
 
 

@@ -137,9 +137,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encoder = tokens.encoder(tokenizer, True, "<u4")
         end = np.array([end_id], dtype="<u4").tobytes()
         try:
-            for part in parts:
+            for part in common.tidily(parts):
                 docs, texts = part["doc_id"].tolist(), part["text"].tolist()
-                for a, z in tokens.in_slices(texts):
+                for a, z in tokens.in_slices(texts, 1_000_000):
                     rows = []
                     for doc, ids in zip(docs[a:z], encoder.encode(texts[a:z]), strict=True):
                         ids += end

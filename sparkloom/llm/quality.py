@@ -50,7 +50,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
     @F.pandas_udf(common.schema(**dict.fromkeys(COUNTS, LONG)))
     def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        for batch in common.tidily(texts):
             yield pd.DataFrame([text_counts(t) for t in batch], columns=COUNTS, dtype="int64")
 
     others = [c for c in (keep if keep is not None else docs.columns) if c not in COUNTS]
