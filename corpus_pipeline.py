@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all copies with their places in training sequences."""
-    return packing.pack(docs, tokens.public_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokens.public_path("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix_sources), ("packing", best_fit_packing)]

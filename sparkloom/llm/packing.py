@@ -130,16 +130,19 @@ def plan(histogram: np.ndarray) -> tuple[np.ndarray, int]:
     return np.array(rows, dtype=np.int64).reshape(-1, 5), sequence
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, lean: bool = False) -> DataFrame:
+    """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter.
+
+    `lean`: workers forget units at a task's end, for jobs whose other stages need the memory; it costs encoding again.
+    """
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.encoder(tokenizer, True, "<u4")
         end = np.array([end_id], dtype="<u4").tobytes()
         try:
-            for part in common.tidily(parts):
+            for part in common.tidily(parts) if lean else parts:
                 docs, texts = part["doc_id"].tolist(), part["text"].tolist()
-                for a, z in tokens.in_slices(texts, 1_000_000):
+                for a, z in tokens.in_slices(texts, 1_000_000 if lean else 4_000_000):
                     rows = []
                     for doc, ids in zip(docs[a:z], encoder.encode(texts[a:z]), strict=True):
                         ids += end
@@ -152,8 +155,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     out["piece"] = (out["start"] + capacity - 1) // capacity
                     yield out.astype({"piece": "int32"})
         finally:
-            part = texts = rows = ids = None  # so that their memory goes, too
-            encoder.forget()
+            if lean:
+                part = texts = rows = ids = None  # so that their memory goes, too
+                encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 
@@ -186,10 +190,10 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(place, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, lean: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     A null or empty text is its end id alone; a row with a null doc_id is packed under null; repeated rows are packed
     each; an empty table gives no rows; further columns are ignored. Within a sequence pieces follow without a gap.
     """
-    return packed(common.stored(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return packed(common.stored(pieces(docs, tokenizer, capacity, end_id, lean), "pieces"), capacity)
