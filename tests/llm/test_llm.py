@@ -218,6 +218,38 @@ def test_lines(spark):
     assert out[2]["text"] == "other\nwords\n\nnew" and out[3]["text"] == "tail one" and out[4]["text"] == "first\nend"
 
 
+@pytest.mark.parametrize("size", [1, 3, 4, 5, 8, 12, 24, 49, 60])
+def test_spaced_lines(spark, size):
+    rng = random.Random(size)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = lambda n: [" ".join(word() for _ in range(min(size, n - k))) for k in range(0, n, size)]
+    spaced = lambda x, blank: "".join(f"{y}\n{blank}" for y in x)
+    rows, left = [], {}
+    for i, n in enumerate([49, 50, 73, 100, 200]):
+        x = passage(n)
+        for k, blank in enumerate(["\n", "\n", "", "\n \t\n"]):  # the last two are spaced in another way
+            head, tail = word(), word()
+            rows.append((10 * i + k, f"{head}\n\n{spaced(x, blank)}{tail}"))
+            left[10 * i + k] = rows[-1][1] if k == 0 else f"{head}\n{tail}" if k < 3 else None
+        rows.append((10 * i + 9, spaced(x, "\n")))
+        left[10 * i + 9] = ""
+    out = {r["doc_id"]: r for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()  # by brute force: a line of a passage stays where it occurs first only
+    for i, text in rows:
+        stays = [y for y in text.split("\n") if y.strip() and y not in seen]
+        seen.update(text.split("\n"))
+        assert [y for y in out[i]["text"].split("\n") if y.strip()] == stays
+        assert out[i]["n_lines"] - out[i]["n_deleted"] in ([len(out[i]["text"].split("\n"))] if out[i]["text"] else [0, 1])
+        assert left[i] is None or out[i]["text"] == left[i]
+
+
+def test_many_blank_lines(spark):
+    x = "\n".join(" ".join(f"m{j}-{i}" for i in range(9)) for j in range(7))
+    rows = [(1, "a" + "\n" * 20_000 + x), (2, "b" + "\n" * 30_000 + x), (3, "\n" * 1000)]
+    out = {r["doc_id"]: r["text"] for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "b" + "\n" * 10_000, 3: rows[2][1]}
+
+
 def test_line_and_exact_oracles(spark, docs):
     import duckdb
 
