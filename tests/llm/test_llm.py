@@ -76,6 +76,55 @@ def test_one_capped_source(spark):
     assert out["taken"].sum() == 1000
 
 
+@pytest.mark.parametrize("schedules", [mixing.SCHEDULES, [[(0.0, 0.0), (1.0, 4.0)], [(0.0, 3.0), (0.3, 0.0), (1.0, 1.0)]]])
+def test_copies_by_brute_force(spark, schedules):
+    rng, rows = random.Random(7), []
+    for i in range(60):
+        text = "".join(rng.choice(["", " ", "\n\t "]) + f"w{k}" + rng.choice([" ", "\n", "  \x0b"]) for k in range(rng.choice([0, 1, 3, 20, 90])))
+        rows.append((rng.choice([i, i, i, 5, None]), text if i % 9 else None, rng.choice(["a", "b", "b", "b", "b", None]), i))
+    rows += [(5, "again and again", "b", 90)] * 2 + [(70, "x " * 400, "b", 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    keys = [r[0] for r in docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("order")), F.xxhash64("text")).collect()]
+    marks = [r[0] for r in docs.select(F.xxhash64("text")).collect()]
+    n = [len((r[1] or "").split()) for r in rows]
+    targets = {r["source_size"]: r["target"] for r in mixing.mix(docs, schedules).collect()}
+    want, sources = [], ["a", "b", None]
+    for rank, source in enumerate(sources):
+        order = sorted((i for i, r in enumerate(rows) if r[2] == source), key=lambda i: (keys[i] % mixing.SLICES, keys[i], -1 if rows[i][0] is None else rows[i][0], n[i], marks[i]))
+        size = sum(n[i] for i in order)
+        at, (t, w) = 0, np.array(schedules[rank % len(schedules)]).T
+        grid = np.unique(np.concatenate([np.linspace(0, 1, 20_001), t]))
+        area = np.concatenate([[0], np.cumsum(np.diff(grid) * (np.interp(grid, t, w)[1:] + np.interp(grid, t, w)[:-1]) / 2)])
+        for copy in range(mixing.REPEATS):
+            for i in order:
+                words = min(n[i], max(0, int(np.floor(targets[size])) - at))
+                if words:
+                    want.append((rows[i][0], copy, words, float(np.interp(at / targets[size], area / area[-1], grid)), i))
+                at += n[i]
+    got = [tuple(r) for r in mixing.copies(docs, schedules).select("doc_id", "copy", "words", "position").collect()]
+    by = lambda r: (-1 if r[0] is None else r[0], r[1], r[2], r[3])
+    assert len(got) == len(want) and len({len(schedules)} | {r[1] for r in got}) > 1
+    for a, b in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-3)
+    mixed = [tuple(r) for r in mixing.mixed_documents(docs, schedules).collect()]
+    report = [tuple(r) for r in mixing.mix(docs, schedules).select("doc_id", "taken", "positions").collect()]
+    sums = lambda pairs: {d: sum(x for e, x in pairs if e == d) for d, x in pairs if x}
+    assert sums([(r[0], r[1]) for r in report]) == sums([(r[0], len(r[1].split())) for r in mixed]) == sums([(r[0], r[2]) for r in want])
+    firsts = [p[0] for _, _, p in report if p]
+    assert firsts == sorted(firsts) and sorted(x for _, _, p in report for x in p) == sorted(r[3] for r in got)
+    assert [r[0] for r in mixed] == [r[0] for r in sorted(got, key=lambda r: (r[3], -1 if r[0] is None else r[0], r[1]))]
+    texts = {r[3]: (r[0], r[2], r[1]) for r in rows}
+    cut = [r for r in mixed if r[1] != texts[r[3]][2]]
+    assert all((r[0], r[2]) == texts[r[3]][:2] and texts[r[3]][2].startswith(r[1]) and r[1].split()[-1:] == r[1].rstrip().split()[-1:] for r in mixed)
+    assert len(cut) <= len(sources) and all(not r[1][-1].isspace() for r in cut)
+
+
+def test_schedule_shapes_show_in_the_mix(spark, docs):
+    early, late = [[(0.0, 2.0), (1.0, 0.0)], [(0.0, 1.0), (1.0, 1.0)]], [[(0.0, 0.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)]]
+    a, b = (mixing.mix(docs, x).toPandas().set_index("doc_id") for x in (early, late))
+    assert (a["taken"] == b["taken"].reindex(a.index)).all() and a["positions"].map(tuple).ne(b["positions"].map(tuple).reindex(a.index)).any()
+
+
 def test_schedule_inverts():
     for s in mixing.SCHEDULES:
         t = mixing.due(s, np.linspace(0, 1, 11))
