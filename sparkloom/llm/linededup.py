@@ -24,28 +24,29 @@ def _hash(text: F.Column) -> F.Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h, n_words, n_lines) of the lines that hold words: white space at the ends cut, runs of it made one blank."""
-    each = docs.select("doc_id", F.split("text", "\n").alias("all")).select("doc_id", F.size("all").alias("n_lines"), F.posexplode("all").alias("line", "raw"))
+    """(doc_id, mark, line, h, n_words, n_lines) of the lines that hold words: white space at the ends cut, runs of it made one blank."""
+    each = docs.select("doc_id", "mark", F.split("text", "\n").alias("all")).select("doc_id", "mark", F.size("all").alias("n_lines"), F.posexplode("all").alias("line", "raw"))
     plain = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "))
     n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    return each.select("doc_id", "line", "n_lines", plain.alias("plain")).where("plain <> ''").select("doc_id", "line", _hash(F.col("plain").cast("binary")).alias("h"), n.cast("long").alias("n_words"), "n_lines")
+    return each.select("doc_id", "mark", "line", "n_lines", plain.alias("plain")).where("plain <> ''").select("doc_id", "mark", "line", _hash(F.col("plain").cast("binary")).alias("h"), n.cast("long").alias("n_words"), "n_lines")
 
 
 def fingerprints(lined: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(gram, doc_id, line, near_before, near_after, above, below): the winnowed grams and the lines about them, nearest first.
+    """(gram, doc_id, mark, line, near_before, near_after, above, below): the winnowed grams and the lines about them, nearest first.
 
     Here `line` counts lines with words only. `above` has the blank lines above the gram's line and above each of
     near_before, `below` those below its line and below each of near_after; both are null where there are none.
     """
-    by_line = Window.partitionBy("doc_id").orderBy("line")
-    at = Window.partitionBy("doc_id").orderBy("start")
+    by_line = Window.partitionBy("doc_id", "mark").orderBy("line")
+    at = Window.partitionBy("doc_id", "mark").orderBy("start")
     reach = gram + window - 2
-    rows = lined.select(
-        "doc_id", (F.row_number().over(by_line) - 1).alias("line"), "h", "n_words", (F.sum("n_words").over(by_line) - F.col("n_words")).alias("start"),
-        (F.col("line") - F.lag("line", 1, -1).over(by_line) - 1).alias("up"), (F.coalesce(F.lead("line").over(by_line), F.col("n_lines")) - F.col("line") - 1).alias("down"),
+    once = lined.withColumn("last", F.lag("line", 1, -1).over(by_line)).where("line > last")  # equal rows have each line again
+    rows = once.select(
+        "doc_id", "mark", (F.row_number().over(by_line) - 1).alias("line"), "h", "n_words", (F.sum("n_words").over(by_line) - F.col("n_words")).alias("start"),
+        (F.col("line") - F.col("last") - 1).alias("up"), (F.coalesce(F.lead("line").over(by_line), F.col("n_lines")) - F.col("line") - 1).alias("down"),
     )
     rows = rows.select(
-        "doc_id", "line", "start", "down",
+        "doc_id", "mark", "line", "start", "down",
         F.collect_list("h").over(at.rangeBetween(0, gram - 1)).alias("own"),
         F.sum("n_words").over(at.rangeBetween(0, gram - 1)).alias("own_words"),
         F.collect_list("h").over(at.rangeBetween(-window, -1)).alias("before"),
@@ -62,7 +63,7 @@ def fingerprints(lined: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     chosen = F.array_contains(F.collect_list(F.col("least.line")).over(at.rangeBetween(-(window - 1), 0)), F.col("line"))
     rows = rows.withColumn("chosen", chosen).where("cand is not null and chosen")
     above, below = (F.when(F.array_max(c) > 0, F.reverse(c) if c == "ups" else F.col(c)) for c in ("ups", "downs"))
-    return rows.select(F.col("cand.gram").alias("gram"), "doc_id", "line", F.reverse("before").alias("near_before"), "near_after", above.alias("above"), below.alias("below"))
+    return rows.select(F.col("cand.gram").alias("gram"), "doc_id", "mark", "line", F.reverse("before").alias("near_before"), "near_after", above.alias("above"), below.alias("below"))
 
 
 def _agreeing(a: str, b: str) -> F.Column:
@@ -72,18 +73,19 @@ def _agreeing(a: str, b: str) -> F.Column:
 
 
 def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(doc_id, from, to, up, down): runs of lines that occur earlier, and the blank lines above and below that go with them.
+    """(doc_id, mark, from, to, up, down): runs of lines that occur earlier, and the blank lines above and below that go with them.
 
-    Lines are counted from 0 and without the blank ones. Runs may overlap.
+    Takes doc_id, mark (a hash of the text) and text; equal rows are one. Lines are counted from 0 and without the blank
+    ones. Runs may overlap.
     """
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
     found = common.stored(fingerprints(lines(known), gram, window), "fingerprints")
-    firsts = found.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "line", "near_before", "near_after", "above", "below")).alias("first")).where("m > 1").select("gram", "first")
-    later = found.join(firsts, "gram").where("doc_id > first.doc_id or (doc_id = first.doc_id and line > first.line)")
+    firsts = found.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "mark", "line", "near_before", "near_after", "above", "below")).alias("first")).where("m > 1").select("gram", "first")
+    later = found.join(firsts, "gram").where("struct(doc_id, mark, line) > struct(first.doc_id, first.mark, first.line)")
     later = later.withColumn("first_before", F.col("first.near_before")).withColumn("first_after", F.col("first.near_after"))
     later = later.withColumn("n_before", _agreeing("near_before", "first_before")).withColumn("n_after", _agreeing("near_after", "first_after"))
     up, down = (F.coalesce(F.when(F.col(c).isNotNull() & F.col(f"first.{c}").isNotNull(), F.least(F.get(c, F.col(n)), F.get(f"first.{c}", F.col(n)))), F.lit(0)) for c, n in (("above", "n_before"), ("below", "n_after")))
-    return later.select("doc_id", (F.col("line") - F.col("n_before")).alias("from"), (F.col("line") + F.col("n_after")).alias("to"), up.alias("up"), down.alias("down"))
+    return later.select("doc_id", "mark", (F.col("line") - F.col("n_before")).alias("from"), (F.col("line") + F.col("n_after")).alias("to"), up.alias("up"), down.alias("down"))
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -92,14 +94,14 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     Every run of gram + window - 1 words or more that occurs earlier (by doc_id, then line) is deleted, and with it the
     repeated lines about it; a shorter run goes only if it holds a fingerprint, and never one under `gram` words. A null
     text stays null with 0 lines; an empty text is one blank line; a null doc_id has no place in the order, so its text
-    stays as it is. Rows that share a doc_id are cut alike, at line numbers of either. No row is ever dropped: of a
-    whole repeated text an empty one remains. Blank lines count as no words and part no run; those inside a deleted run
+    stays as it is. Equal rows are one document and are cut alike; other rows that share a doc_id are documents in
+    the order of a hash of their texts. No row is ever dropped: of a whole repeated text an empty one remains. Blank lines count as no words and part no run; those inside a deleted run
     go with it, and of those next to it as many as the first occurrence has there.
     """
     own = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    runs = repeats(docs.select(F.col("doc_id").cast("long"), "text"), gram, window).groupBy("doc_id").agg(F.collect_set(F.struct("from", "to", "up", "down")).alias("_runs"))
-    rows = rows.join(runs, "doc_id", "left").withColumn("_lines", F.split("_text", "\n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").alias("_text"))
+    runs = repeats(rows.select("doc_id", "mark", F.col("_text").alias("text")), gram, window).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("from", "to", "up", "down")).alias("_runs"))
+    rows = rows.join(runs, ["doc_id", "mark"], "left").withColumn("_lines", F.split("_text", "\n"))
     spoken = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(common.WORD), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_spoken", F.when(F.col("_runs").isNotNull(), spoken))
     gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(F.get("_spoken", r["from"]) - r["up"], F.get("_spoken", r["to"]) + r["down"]))))

@@ -292,6 +292,16 @@ def test_spaced_lines(spark, size):
         assert left[i] is None or out[i]["text"] == left[i]
 
 
+def test_rows_that_share_an_id(spark):
+    passage = lambda c: "\n".join(" ".join(f"{c}{j}-{i}" for i in range(9)) for j in range(7))
+    a, b, c = map(passage, "abc")
+    rows = [(1, f"{a}\none"), (1, f"{a}\none"), (2, f"two\n{a}"), (3, f"{b}\nthree"), (4, f"four\n{b}"), (4, f"four\n{b}"), (5, f"{c}\nfive"), (5, f"other\nwords here\n{c}"), (6, f"{c}\nsix")]
+    out = sorted(r[0] for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).select(F.struct("doc_id", "text")).collect())
+    five = [t for d, t in out if d == 5]
+    assert [tuple(r) for r in out if r[0] != 5] == [(1, rows[0][1])] * 2 + [(2, "two"), (3, rows[3][1]), (4, "four"), (4, "four"), (6, "six")]
+    assert sorted(five) in (sorted(["five", rows[7][1]]), sorted([rows[6][1], "other\nwords here"]))
+
+
 def test_many_blank_lines(spark):
     x = "\n".join(" ".join(f"m{j}-{i}" for i in range(9)) for j in range(7))
     rows = [(1, "a" + "\n" * 20_000 + x), (2, "b" + "\n" * 30_000 + x), (3, "\n" * 1000)]
