@@ -91,8 +91,10 @@ def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """The documents with later repeated runs of lines deleted from text, and n_lines, n_deleted before the own columns' end.
 
-    Every run of gram + window - 1 words or more that occurs earlier (by doc_id, then line) is deleted, and with it the
-    repeated lines about it; a shorter run goes only if it holds a fingerprint, and never one under `gram` words. A null
+    Of every run of gram + window - 1 words or more that occurs earlier (by doc_id, then line) the part about its
+    fingerprints is deleted, and with it the repeated lines about it. A match is extended along the first occurrence of
+    its fingerprint only: where that one's neighbours differ, though a later occurrence has the whole run, up to about
+    window - 1 words may stay at either end. A shorter run goes only if it holds a fingerprint, and never one under `gram` words. A null
     text stays null with 0 lines; an empty text is one blank line; a null doc_id has no place in the order, so its text
     stays as it is. Equal rows are one document and are cut alike; other rows that share a doc_id are documents in
     the order of a hash of their texts. No row is ever dropped: of a whole repeated text an empty one remains. Blank lines count as no words and part no run; those inside a deleted run
