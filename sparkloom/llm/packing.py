@@ -11,7 +11,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,36 +130,32 @@ def plan(histogram: np.ndarray) -> tuple[np.ndarray, int]:
     return np.array(rows, dtype=np.int64).reshape(-1, 5), sequence
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, lean: bool = False) -> DataFrame:
-    """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter.
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """Documents as pieces of at most `capacity` tokens; only the first of a cut document may be shorter."""
 
-    `lean`: workers forget units at a task's end, for jobs whose other stages need the memory; it costs encoding again.
-    """
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cutting():
         encoder = tokens.encoder(tokenizer, True, "<u4")
         end = np.array([end_id], dtype="<u4").tobytes()
-        try:
-            for part in common.tidily(parts) if lean else parts:
-                docs, texts = part["doc_id"].tolist(), part["text"].tolist()
-                for a, z in tokens.in_slices(texts, 1_000_000 if lean else 4_000_000):
-                    rows = []
-                    for doc, ids in zip(docs[a:z], encoder.encode(texts[a:z]), strict=True):
-                        ids += end
-                        n = len(ids) // 4
-                        start, to = 0, n - (n - 1) // capacity * capacity
-                        while start < n:
-                            rows.append((doc, len(rows), start, to - start, zlib.crc32(memoryview(ids)[4 * start : 4 * to])))
-                            start, to = to, to + capacity
-                    out = pd.DataFrame(rows, columns=PIECES.names)
-                    out["piece"] = (out["start"] + capacity - 1) // capacity
-                    yield out.astype({"piece": "int32"})
-        finally:
-            if lean:
-                part = texts = rows = ids = None  # so that their memory goes, too
-                encoder.forget()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+
+        def each(names: list, texts: list) -> Iterator[dict]:
+            for a, z in tokens.in_slices(texts):
+                docs, numbers, starts, lengths, sums = [], [], [], [], []
+                for doc, ids in zip(names[a:z], encoder.encode(texts[a:z]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    start, to, piece = 0, n - (n - 1) // capacity * capacity, 0
+                    while start < n:
+                        docs.append(doc)
+                        numbers.append(piece)
+                        starts.append(start)
+                        lengths.append(to - start)
+                        sums.append(zlib.crc32(memoryview(ids)[4 * start : 4 * to]))
+                        start, to, piece = to, to + capacity, piece + 1
+                yield {"doc_id": docs, "piece": numbers, "start": starts, "length": lengths, "ids_crc32": sums}
+
+        return each
+
+    return common.over_texts(docs, cutting, PIECES)
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -180,20 +176,20 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     top = int(rows[:, 1].max() + 1) if len(rows) else 1
     starts = rows[:, 0] * top + rows[:, 1]
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            row = rows[np.searchsorted(starts, part["length"].to_numpy() * top + part["_rank"].to_numpy(), "right") - 1]
-            part["sequence_id"] = row[:, 3] + part["_rank"].to_numpy() - row[:, 1]
-            part["offset"] = row[:, 4]
-            yield part[PACKED.names]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            row = rows[np.searchsorted(starts, length * top + rank, "right") - 1]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in PIECES.names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=PACKED.names)
 
-    return ranked.mapInPandas(place, PACKED)
+    return ranked.mapInArrow(place, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, lean: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     A null or empty text is its end id alone; a row with a null doc_id is packed under null; repeated rows are packed
     each; an empty table gives no rows; further columns are ignored. Within a sequence pieces follow without a gap.
     """
-    return packed(common.stored(pieces(docs, tokenizer, capacity, end_id, lean), "pieces"), capacity)
+    return packed(common.stored(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)

@@ -5,14 +5,15 @@ its digest and stored once; a document is a recipe of digests; a Merkle root ove
 documents of a manifest row, verify what is read back.
 
 Layout of a store: `recipes` (doc_id, n_tokens, digests, root; in ascending doc_id), `chunks` (digest, ids), `manifest`
-(part, first_id, last_id, n_docs, n_tokens, root). Ids are little-endian integers of the store's width, 2 bytes where
-the vocabulary allows.
+(part, cell, first_id, last_id, n_docs, n_tokens, root, width). Ids are little-endian integers of the store's width, 2
+bytes where the vocabulary allows, else 4.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +28,34 @@ END_ID = 1
 #: Chunks have at least LEAST, about LEAST + 2 ** BITS and at most MOST ids; the rolling hash sees SPAN ids.
 LEAST, MOST, BITS, SPAN = 64, 1024, 8, 16
 DIGEST = 16
+#: Documents of a manifest row, about.
+DOCS_A_ROW = 1000
 _GEAR = np.random.default_rng(4102444800).integers(0, 2**64 - 1, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream: where the hash of the last SPAN ids has BITS zero bits, within LEAST and MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear = _GEAR[ids & 0xFFFF]
-    rolled = gear.copy()
-    for k in range(1, SPAN):
-        rolled[k:] += gear[:-k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(64 - BITS)) == 0) + 1
-    out, start, i = [], 0, 0
-    while n - start > LEAST:
-        i = int(np.searchsorted(marks, start + LEAST))
-        end = min(int(marks[i]) if i < len(marks) else n, start + MOST, n)
-        out.append(end)
-        start = end
-    if start < n:
-        out.append(n)
-    return out
+def cuts(ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of streams that follow one another and end at `ends`: the ends of all chunks, and each stream's number of them.
+
+    A chunk ends where the hash of the last SPAN ids has BITS zero bits, within LEAST and MOST, or with its stream. The
+    hash, a sum of shifted gears, is doubled in span from one id on; it sees no other stream, as LEAST is over SPAN.
+    """
+    rolled, span = _GEAR[ids & 0xFFFF], 1
+    while span < SPAN:
+        rolled[span:] += rolled[:-span] << np.uint64(span)
+        span *= 2
+    marks = (np.flatnonzero((rolled >> np.uint64(64 - BITS)) == 0) + 1).tolist()
+    out, counts, start, i = [], [], 0, 0
+    for n in ends.tolist():
+        before = len(out)
+        while n - start > LEAST:
+            i = bisect_left(marks, start + LEAST, i)
+            start = min(marks[i] if i < len(marks) else n, start + MOST, n)
+            out.append(start)
+        if start < n:
+            out.append(n)
+            start = n
+        counts.append(len(out) - before)
+    return out, counts
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -63,59 +70,107 @@ def digest(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=DIGEST).digest()
 
 
+def width_of(tokenizer: str) -> int:
+    """Bytes that an id of a tokenizer file needs: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
 STAGED = common.schema(doc_id=LONG, n_tokens=LONG, digests=BINARY, root=BINARY, digest=BINARY, ids=BINARY)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encodes every text once, whole, and writes recipes, unique chunks and the manifest under `path`.
 
     A null text is empty: its ids are the end id alone. Repeated rows give a recipe each.
     """
-    spark, kind = docs.sparkSession, f"<u{width}"
+    spark, width = docs.sparkSession, width_of(tokenizer)
+    kind = f"<u{width}"
 
-    def stage(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def staged():
         encode = tokens.encoder(tokenizer, False, kind).encode
         end, seen = np.array([end_id], dtype=kind).tobytes(), set()
-        for part in parts:
-            names, texts = part["doc_id"].tolist(), part["text"].tolist()
+
+        def each(names: list, texts: list) -> Iterator[dict]:
             for a, z in tokens.in_slices(texts):
-                rows = []
-                for doc, ids in zip(names[a:z], encode(texts[a:z]), strict=True):
-                    ids += end
-                    start, recipe = 0, []
-                    for to in cuts(np.frombuffer(ids, dtype=kind)):
-                        chunk = ids[width * start : width * to]
+                streams = encode(texts[a:z])
+                joined = end.join([*streams, b""])
+                length = np.array([len(x) // width + 1 for x in streams])
+                ends, counts = cuts(np.frombuffer(joined, dtype=kind), np.cumsum(length))
+                recipes, new, at, start = [], {}, 0, 0
+                for count in counts:
+                    recipe = []
+                    for to in ends[at : at + count]:
+                        chunk = joined[width * start : width * to]
                         key = digest(chunk)
                         recipe.append(key)
                         start = to
                         if key not in seen:  # a task sends a chunk once, as far as it remembers
                             seen.add(key)
-                            rows.append((None, None, None, None, key, chunk))
-                    rows.append((doc, len(ids) // width, b"".join(recipe), merkle(recipe), None, None))
+                            new[key] = chunk
+                    at += count
+                    recipes.append(recipe)
+                n, m = z - a, len(new)
                 if len(seen) > 200_000:
                     seen.clear()
-                yield pd.DataFrame(rows, columns=STAGED.names).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+                none, nothing = [None] * n, [None] * m
+                yield {
+                    "doc_id": names[a:z] + nothing, "n_tokens": length.tolist() + nothing, "digests": [b"".join(r) for r in recipes] + nothing,
+                    "root": [merkle(r) for r in recipes] + nothing, "digest": none + list(new), "ids": none + list(new.values()),
+                }
+
+        return each
 
     staged_at = f"{path}/staged"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(stage, STAGED).write.option("compression", "zstd").parquet(staged_at)
-    staged = spark.read.schema(STAGED).parquet(staged_at)
-    chunks = staged.where("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids"))
+    common.over_texts(docs, staged, STAGED).write.option("compression", "zstd").parquet(staged_at)
+    rows = spark.read.schema(STAGED).parquet(staged_at)
+    chunks = rows.where("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = staged.where("digest is null").select("doc_id", "n_tokens", "digests", "root")
+    recipes = rows.where("digest is null").select("doc_id", "n_tokens", "digests", "root")
     recipes.sort("doc_id", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
     common.remove(spark, staged_at)
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    _manifest(spark.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
+
+
+@F.pandas_udf(BINARY)
+def _root_of(leaves: pd.Series) -> pd.Series:
+    return pd.Series([merkle([bytes(x) for x in row]) for row in leaves], dtype=object)
+
 
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row for each span of ids: its documents, tokens and the Merkle root over its recipes' roots in order.
 
-def _manifest(recipes: DataFrame, docs_a_row: int = 10_000) -> DataFrame:
-    """A row for each span of ids: its documents, tokens and the Merkle root over their roots in order."""
-    root = F.udf(lambda leaves: merkle([bytes(x) for x in leaves]), "binary")
-    part = F.floor(F.col("doc_id") / docs_a_row)
-    spans = recipes.groupBy(part.alias("part")).agg(
-        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("leaves"),
+    Equal recipes under one id are one leaf that holds their number. A span of many more recipes than ids (null ids are
+    one span, and an id may be repeated) falls into cells by its leaves' digests, so no row gathers much more than
+    4 * DOCS_A_ROW leaves.
+    """
+    part = F.floor(F.col("doc_id") / DOCS_A_ROW).alias("part")
+    # The id as text and the number are part of the leaf: a moved or repeated recipe changes the root.
+    leaf = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("n").cast("string"), F.lit(":"), F.hex("root"))))
+    each = recipes.groupBy(part, "doc_id", "root").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).withColumn("leaf", leaf)
+    sizes = each.groupBy("part").agg(F.ceil(F.count("*") / DOCS_A_ROW).alias("cells")).where("cells > 4").withColumnRenamed("part", "_part")
+    dealt = each.join(sizes, F.col("part").eqNullSafe(F.col("_part")), "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("leaf"), F.col("cells")), F.lit(0)))
+    spans = dealt.groupBy("part", "cell").agg(
+        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n").alias("n_docs"), F.sum("tokens").alias("n_tokens"),
+        F.sort_array(F.collect_list(F.struct("doc_id", "root", "leaf"))).alias("leaves"),
     )
-    return spans.select("part", "first_id", "last_id", "n_docs", "n_tokens", root(F.col("leaves.root")).alias("root"))
+    return spans.select("part", "cell", "first_id", "last_id", "n_docs", "n_tokens", _root_of(F.col("leaves.leaf")).alias("root"))
+
+
+def checked_recipes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The recipes of a store, after the manifest has been made again from them and compared, and the width of ids.
+
+    Raises where a recipe is lost, changed, moved or there twice.
+    """
+    recipes, stored = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    facts = F.struct("first_id", "last_id", "n_docs", "n_tokens", "root")
+    now = _manifest(recipes).select(F.col("part").alias("p"), F.col("cell").alias("c"), facts.alias("now"))
+    both = stored.select("part", "cell", facts.alias("then")).join(now, F.col("part").eqNullSafe(F.col("p")) & (F.col("cell") == F.col("c")), "full")
+    if wrong := both.where(~F.col("now").eqNullSafe(F.col("then"))).select(F.coalesce("part", "p")).head():
+        raise RuntimeError(f"the recipes of part {wrong[0]} are not those of the manifest")
+    first = stored.select("width").head()
+    return recipes, first[0] if first else 2
 
 
 # CRC-32 of two byte strings together, from theirs: crc(ab) = crc(a) * x ** (8 * len(b)) + crc(b) in polynomials over GF(2).
@@ -184,9 +239,9 @@ def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrong = total != part["n_tokens"].to_numpy()
         for i, (root, digests) in enumerate(zip(part["root"], part["digest"], strict=True)):
             if wrong[i] or merkle([bytes(x) for x in digests]) != bytes(root):
-                raise RuntimeError(f"document {part['doc_id'].iloc[i]} can't be rebuilt from the store")
+                raise RuntimeError(f"document {part['id'].iloc[i]} can't be rebuilt from the store")
         sums = np.bitwise_xor.reduceat(shifted(crc, 4 * after), first)
-        yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": part["n_tokens"], "ids_crc32": sums.astype(np.int64)})
+        yield pd.DataFrame({"doc_id": pd.array([None if x is None else int(x) for x in part["id"]], dtype="Int64"), "n_tokens": part["n_tokens"], "ids_crc32": sums.astype(np.int64)})
 
 
 def _references(recipes: DataFrame) -> DataFrame:
@@ -196,21 +251,30 @@ def _references(recipes: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", "n_tokens", "root", "digests", at.alias("at")).select("_row", "doc_id", "n_tokens", "root", "at", F.substring("digests", F.col("at") * DIGEST + 1, F.lit(DIGEST)).alias("digest"))
 
 
-def read_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """From the files alone: doc_id, start, n_tokens and ids_crc32 of each document, every chunk and recipe verified."""
+def _there(column: str) -> F.Column:
+    """The column of a joined chunk, or an error where the store has no such chunk."""
+    return F.when(F.col(column).isNull(), F.raise_error(F.concat(F.lit("the store has lost chunk "), F.hex("digest")))).otherwise(F.col(column))
+
+
+def read_sums(spark: SparkSession, path: str) -> DataFrame:
+    """From the files alone: doc_id, start, n_tokens and ids_crc32 of each document.
+
+    Recipes are held against the manifest, chunks against their digests and each document's chunks against its root;
+    raises where anything is lost or changed.
+    """
+    recipes, width = checked_recipes(spark, path)
     facts = spark.read.parquet(f"{path}/chunks").mapInPandas(_leaf_facts(width), "digest binary, n long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    leaves = _references(recipes).join(facts, "digest").groupBy("_row", "doc_id", "n_tokens", "root")
-    docs = leaves.agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "digest"))).alias("leaves"))
-    summed = common.stored(docs.select("doc_id", "n_tokens", "root", "leaves.n", "leaves.crc", "leaves.digest").mapInPandas(_summed, _SUMMED), "sums")
-    return common.running_total(summed, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
-
-
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, ids): every document's ids rebuilt from its recipe and checked against its Merkle root."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    rows = _references(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest").groupBy("_row", "doc_id", "root")
-    rows = rows.agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("leaves"))
+    found = _references(recipes).join(facts, "digest", "left").select("_row", "doc_id", "n_tokens", "root", "at", "digest", _there("n").alias("n"), "crc")
+    docs = found.groupBy("_row", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "digest"))).alias("leaves"))
+    summed = docs.select(F.col("doc_id").cast("string").alias("id"), "n_tokens", "root", "leaves.n", "leaves.crc", "leaves.digest").mapInPandas(_summed, _SUMMED)
+    return common.running_total(common.stored(summed, "sums"), ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ids): every document's ids rebuilt from its recipe and checked as in read_sums()."""
+    recipes, width = checked_recipes(spark, path)
+    rows = _references(recipes).join(spark.read.parquet(f"{path}/chunks"), "digest", "left").select("_row", "doc_id", "root", "at", _there("ids").alias("ids"))
+    rows = rows.groupBy("_row", "doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("leaves"))
 
     @F.pandas_udf("array<long>")
     def rebuilt(root: pd.Series, leaves: pd.Series) -> pd.Series:
