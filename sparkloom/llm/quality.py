@@ -53,8 +53,10 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
         for batch in common.tidily(texts):
             yield pd.DataFrame([text_counts(t) for t in batch], columns=COUNTS, dtype="int64")
 
+    # Not deterministic by its word, so that a filter on the counts stays above them and a join, and they are made once.
+    once = counts.asNondeterministic()
     others = [c for c in (keep if keep is not None else docs.columns) if c not in COUNTS]
-    return docs.select(*others, counts(F.col(text)).alias("_counts")).select(*others, "_counts.*")
+    return docs.select(*others, once(F.col(text)).alias("_counts")).select(*others, "_counts.*")
 
 
 def base_failed() -> F.Column:
@@ -110,6 +112,8 @@ def learn(x: pd.DataFrame, reject: np.ndarray, precision: float = 0.9, least: in
     """Sequential covering: each rule grows on two thirds of the rows that are left, is pruned on the last third and stays if it is precise there.
 
     Returns the ordered rules; a row that none matches is kept. No rule is learned without at least `least` rejected rows.
+    Settings of the model: a rule has at most `longest` conditions and the list at most `most_rules` rules; it ends with
+    the first rule that is not precise.
     """
     rules: list[Rule] = []
     x, reject = x.reset_index(drop=True), np.asarray(reject, dtype=bool)
@@ -153,7 +157,9 @@ def verdict(rules: list[Rule]) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
     """Rules from at most `most` labelled documents (by a hash of their ids), of those that pass the base rules. Label 0 rejects."""
     chosen = common.sampled_labels(labels, "quality", most)
-    rows = with_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=["doc_id", "label"]).where(~base_failed())
+    # Of rows that share an id, one text is taken, so that no more than `most` reach the driver.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = with_counts(texts, keep=["doc_id", "label"]).where(~base_failed())
     table = rows.select("doc_id", "label", *[ratio(r).alias(r) for r in RATIOS]).toPandas().sort_values("doc_id", ignore_index=True)
     return learn(table[list(RATIOS)].astype(float), table["label"].to_numpy() == 0)
 
