@@ -1,8 +1,9 @@
 """Language of words in code-switched text by a linear-chain conditional random field, and of documents from its words.
 
 A word's features are hashed affixes and n-grams (with marks at both ends) and whether a lexicon of frequent words has
-it; transitions between the languages of neighbours are learned with them. Chains are sentences. Forward-backward runs
-over all chains of a batch at once, one position at a time; features are summed for a batch's distinct words only.
+it; transitions between the languages of neighbours are learned with them. Chains are whole sentences, however long.
+Forward-backward runs over all chains of a batch at once, one position at a time; a long chain is cut into blocks that
+products of matrices join again, exactly. Features are summed for a batch's distinct words only.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common
+from sparkloom.llm import common, tokens
+from sparkloom.llm.common import DOUBLE, LONG, STRING
 
 BUCKETS = 1 << 16
-#: Words of a chain at most.
-LONGEST = 64
+#: Words of a block of a chain.
+BLOCK = 64
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _BASE = np.uint64(0x100000001B3)
 _TABLES: dict[str, np.ndarray] = {}
@@ -59,10 +60,6 @@ class Words:
         # A sentence ends at a line end, or at one of . ! ? ; texts are joined by line ends.
         ends = np.flatnonzero((points == 10) | (points == 46) | (points == 33) | (points == 63))
         self.sentence = np.searchsorted(ends, self.start, "right")
-        if len(self.start):  # a longer sentence falls into chains of LONGEST words
-            first = np.flatnonzero(np.diff(self.sentence, prepend=self.sentence[0] - 1))
-            inside = np.arange(len(self.start)) - np.repeat(first, np.diff(np.append(first, len(self.start))))
-            self.sentence = np.cumsum(inside % LONGEST == 0)
         if len(self.start):
             inside = np.arange(len(points)) - np.repeat(np.append(0, self.start), np.diff(np.concatenate([[0], self.start, [len(points)]])))
             terms = np.where(is_letter, (self.points.astype(np.uint64) + np.uint64(1)) * powers[inside & 255], np.uint64(0))
@@ -127,29 +124,81 @@ class Model:
         return [(text[s : s + n], self.langs[int(q.argmax())], float(q.max())) for s, n, q in zip(w.start, w.length, p, strict=True)]
 
 
-def forward_backward(emission: np.ndarray, chain: np.ndarray, transitions: np.ndarray, want_pairs: bool = False):
-    """Marginals of each word (rows in order; equal `chain` is one chain), the log partition sum, and summed pair marginals."""
+def _transfers(e: np.ndarray, m: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each block the product of (transition, emission) over its words, up to a factor; blocks of falling length."""
+    out = np.tile(np.eye(len(m)), (len(begin), 1, 1))
+    for t in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -t, "left"))
+        x = (out[:n] @ m) * e[begin[:n] + t][:, None, :]
+        out[:n] = x / x.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def forward_backward(emission: np.ndarray, chain: np.ndarray, transitions: np.ndarray, want_pairs: bool = False, block: int = BLOCK):
+    """Marginals of each word (rows in order; equal `chain` is one chain), the log partition sum, and summed pair marginals.
+
+    A chain of more than `block` words is worked on in blocks: what enters and leaves each is found by the products of
+    the blocks' matrices, so the result is that of the whole chain.
+    """
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
-    m = np.exp(transitions)
-    begin = np.flatnonzero(np.diff(chain, prepend=chain[0] - 1))
-    length = np.diff(np.append(begin, len(chain)))
+    m = np.exp(transitions - transitions.max(initial=0))
+    first = np.flatnonzero(np.diff(chain, prepend=chain[0] - 1))
+    size = np.diff(np.append(first, len(chain)))
+    blocks = -(-size // block)
+    of = np.repeat(np.arange(len(first)), blocks)  # the chain of each block
+    number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = first[of] + block * number
+    length = np.minimum(block, first[of] + size[of] - begin)
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    active = np.searchsorted(-length, -np.arange(length[0]), "left")  # chains longer than t
+    begin, length, of, number = begin[order], length[order], of[order], number[order]
+    enters, leaves = number > 0, number < blocks[of] - 1
+    active = np.searchsorted(-length, -np.arange(length[0]), "left")  # blocks longer than t
+    k = len(m)
+    enter, leave = np.zeros((len(of), k)), np.ones((len(of), k))
+    if leaves.any():
+        at = np.full((int(blocks.max()), len(first)), -1)  # the place of a chain's n-th block
+        at[number, of] = np.arange(len(of))
+        longer = np.flatnonzero(enters | leaves)
+        product = np.zeros((len(of), k, k))
+        product[longer] = _transfers(e, m, begin[longer], length[longer])
+        # The first word has no transition into it.
+        start = np.flatnonzero(leaves & ~enters)
+        head = e[begin[start]]
+        for t in range(1, block):
+            head = (head @ m) * e[begin[start] + t]
+            head /= head.sum(axis=1, keepdims=True)
+        now = np.zeros((len(first), k))
+        now[of[start]] = head / head.sum(axis=1, keepdims=True)
+        for n in range(1, len(at)):
+            x = at[n][at[n] >= 0]
+            enter[x] = now[of[x]]
+            y = (now[of[x]][:, None, :] @ product[x])[:, 0]
+            now[of[x]] = y / y.sum(axis=1, keepdims=True)
+        now = np.ones((len(first), k))
+        for n in range(len(at) - 1, 0, -1):
+            x = at[n][at[n] >= 0]
+            y = (product[x] @ now[of[x]][:, :, None])[:, :, 0]
+            now[of[x]] = y / y.sum(axis=1, keepdims=True)
+            leave[at[n - 1][at[n] >= 0]] = now[of[x]]
     alpha, scale = np.empty_like(e), np.empty(len(e))
     for t in range(length[0]):
-        at = begin[: active[t]] + t
-        a = e[at] if t == 0 else (alpha[at - 1] @ m) * e[at]
-        scale[at] = s = a.sum(axis=1)
-        alpha[at] = a / s[:, None]
+        x = begin[: active[t]] + t
+        if t == 0:
+            a = np.where(enters[:, None], enter @ m, 1.0) * e[x]
+        else:
+            a = (alpha[x - 1] @ m) * e[x]
+        scale[x] = s = a.sum(axis=1)
+        alpha[x] = a / s[:, None]
+    last = begin + length - 1
     beta = np.ones_like(e)
+    beta[last] = leave / (alpha[last] * leave).sum(axis=1, keepdims=True)
     for t in range(length[0] - 2, -1, -1):
-        at = begin[: active[t + 1]] + t
-        beta[at] = ((e[at + 1] * beta[at + 1]) @ m.T) / scale[at + 1][:, None]
+        x = begin[: active[t + 1]] + t
+        beta[x] = ((e[x + 1] * beta[x + 1]) @ m.T) / scale[x + 1][:, None]
     p = alpha * beta
     if not want_pairs:
         return p, None, None
-    log_z = np.log(scale).sum() + emission.max(axis=1).sum()
+    log_z = np.log(scale).sum() + emission.max(axis=1).sum() + transitions.max(initial=0) * (len(chain) - len(first))
     inner = np.flatnonzero(np.diff(chain) == 0)
     right = e[inner + 1] * beta[inner + 1] / scale[inner + 1][:, None]
     return p, log_z, (alpha[inner].T @ right) * m
@@ -212,10 +261,19 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, lexicon_size: int
 
 
 def train(docs: DataFrame, most: int = 800) -> Model:
-    """From at most `most` documents that are not held out and have a language, by a hash of their ids; whole texts."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc32_mod(F.col("doc_id"), 3) != 1))
-    rows = known.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("_key")).orderBy("_key", "doc_id", "text").limit(most).toPandas()
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    """From at most `most` documents that are not held out and have a language, by a hash of their ids; whole texts.
+
+    Ids are sampled first, without texts; then the texts of those ids alone are fetched. Of rows that share an id, the
+    least text is taken.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (common.crc32_mod(F.col("doc_id"), 3) != 1))
+    chosen = common.sampled(known.select("doc_id"), most, lambda rows: rows.distinct())
+    rows = known.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # at most `most` ids
+    table = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang").toPandas().sort_values("doc_id", ignore_index=True)
+    return fit(table["text"].tolist(), table["lang"].tolist())
+
+
+LABELLED = common.schema(doc_id=LONG, lang_pred=STRING, score=DOUBLE)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -224,17 +282,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text and one without a letter are `und` with score 0. A null id is not held out. Rows are judged each for
     themselves, whole; an empty table gives no rows; only doc_id and text are read.
     """
-    from sparkloom.llm.tokens import in_slices
-
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the lexicon
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            docs, texts = part["doc_id"].tolist(), part["text"].tolist()
-            for a, z in in_slices(texts, 1_000_000):
+    def labelling():
+        def each(names: list, texts: list) -> Iterator[dict]:
+            for a, z in tokens.in_slices(texts, 1_000_000):
                 found = shared.value.predict(texts[a:z])
-                yield pd.DataFrame({"doc_id": docs[a:z], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+                yield {"doc_id": names[a:z], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+
+        return each
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
     held = F.coalesce(common.crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return common.over_texts(docs, labelling, LABELLED).select("doc_id", held.alias("held_out"), "lang_pred", "score")
