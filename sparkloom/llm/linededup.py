@@ -3,9 +3,11 @@
 A text is a sequence of lines, of which the blank ones count for nothing: a passage is the same however it is spaced.
 The gram of a line is that line and those after it up to GRAM words; of the grams that begin within any WINDOW words, the
 one of least hash is a fingerprint. So every run of lines of GRAM + WINDOW - 1 words or more has a fingerprint that depends
-on nothing outside it. A fingerprint is joined with its first occurrence in the order of doc_id and line, the match is
-extended line by line both ways over the lines that travel with it, and the later run is deleted, with the blank lines in
-it and those about it that the first occurrence has too.
+on nothing outside it. A fingerprint is joined with its first occurrence in the order of doc_id and line, and the match is
+extended line by line both ways over the lines that travel with it. Where it ends there, it is extended further along the
+first occurrence of the fingerprint together with its next line, next two lines and so on, so that of all earlier
+occurrences the one that agrees longest counts, either way. What agrees is deleted, with the blank lines in it and those
+about it that the earlier occurrence has too.
 """
 
 from __future__ import annotations
@@ -72,6 +74,17 @@ def _agreeing(a: str, b: str) -> F.Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
+def _gap(blank: str, n: F.Column) -> F.Column:
+    """The blank lines beyond the n-th line."""
+    return F.coalesce(F.get(blank, n), F.lit(0))
+
+
+def _further(side: str, near: str, n: str, blank: str) -> F.Column:
+    """(side, depth, key, gap) for each number of lines over `n` that `near` has; the key stands for the lines so far."""
+    depths = F.when(F.size(near) > F.col(n), F.sequence(F.col(n) + 1, F.size(near))).otherwise(F.array().cast("array<int>"))
+    return F.transform(depths, lambda d: F.struct(F.lit(side).alias("side"), d.alias("depth"), F.xxhash64(F.slice(near, F.lit(1), d)).alias("key"), _gap(blank, d).alias("gap")))
+
+
 def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(doc_id, mark, from, to, up, down): runs of lines that occur earlier, and the blank lines above and below that go with them.
 
@@ -80,22 +93,37 @@ def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
     """
     known = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
     found = common.stored(fingerprints(lines(known), gram, window), "fingerprints")
-    firsts = found.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "mark", "line", "near_before", "near_after", "above", "below")).alias("first")).where("m > 1").select("gram", "first")
+    at = F.struct("doc_id", "mark", "line").alias("at")
+    # Stored, so that Spark can split the rows of a passage that many documents share in the join.
+    firsts = common.stored(found.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "mark", "line", "near_before", "near_after", "above", "below")).alias("first")).where("m > 1").select("gram", "m", "first"), "firsts")
     later = found.join(firsts, "gram").where("struct(doc_id, mark, line) > struct(first.doc_id, first.mark, first.line)")
     later = later.withColumn("first_before", F.col("first.near_before")).withColumn("first_after", F.col("first.near_after"))
     later = later.withColumn("n_before", _agreeing("near_before", "first_before")).withColumn("n_after", _agreeing("near_after", "first_after"))
-    up, down = (F.coalesce(F.when(F.col(c).isNotNull() & F.col(f"first.{c}").isNotNull(), F.least(F.get(c, F.col(n)), F.get(f"first.{c}", F.col(n)))), F.lit(0)) for c, n in (("above", "n_before"), ("below", "n_after")))
-    return later.select("doc_id", "mark", (F.col("line") - F.col("n_before")).alias("from"), (F.col("line") + F.col("n_after")).alias("to"), up.alias("up"), down.alias("down"))
+    up, down = (F.least(_gap(c, F.col(n)), _gap(f"first.{c}", F.col(n))) for c, n in (("above", "n_before"), ("below", "n_after")))
+    # An occurrence that agrees with this one further than the first does leaves the first at the same line, so both have a
+    # row for every depth beyond; with two occurrences of a gram there is no other.
+    beyond = F.when(F.col("m") > 2, F.concat(_further("above", "near_before", "n_before", "above"), _further("below", "near_after", "n_after", "below")))
+    later = common.stored(later.select("gram", "doc_id", "mark", "line", "n_before", "n_after", up.alias("up"), down.alias("down"), beyond.alias("beyond")), "later")
+    runs = later.select("doc_id", "mark", (F.col("line") - F.col("n_before")).alias("from"), (F.col("line") + F.col("n_after")).alias("to"), "up", "down")
+    deep = later.select("gram", at, F.explode("beyond").alias("_b")).select("gram", "at", "_b.*")
+    same = ["gram", "side", "depth", "key"]
+    least = common.stored(deep.groupBy(*same).agg(F.count("*").alias("m"), F.min(F.struct("at", "gap")).alias("first")).where("m > 1").select(*same, "first"), "least")
+    further = deep.join(least, same).where(F.col("at") > F.col("first.at")).groupBy("at", "side").agg(F.max(F.struct("depth", F.least("gap", "first.gap").alias("gap"))).alias("best"))
+    depth, gap, above = F.col("best.depth"), F.col("best.gap"), F.col("side") == "above"
+    more = further.select(
+        "at.doc_id", "at.mark", (F.col("at.line") - F.when(above, depth).otherwise(0)).alias("from"), (F.col("at.line") + F.when(above, 0).otherwise(depth)).alias("to"),
+        F.when(above, gap).otherwise(0).alias("up"), F.when(above, 0).otherwise(gap).alias("down"),
+    )
+    return runs.union(more)
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """The documents with later repeated runs of lines deleted from text, and n_lines, n_deleted before the own columns' end.
 
-    Of every run of gram + window - 1 words or more that occurs earlier (by doc_id, then line) the part about its
-    fingerprints is deleted, and with it the repeated lines about it. A match is extended along the first occurrence of
-    its fingerprint only: where that one's neighbours differ, though a later occurrence has the whole run, up to about
-    window - 1 words may stay at either end. A shorter run goes only if it holds a fingerprint, and never one under `gram` words. A null
-    text stays null with 0 lines; an empty text is one blank line; a null doc_id has no place in the order, so its text
+    Every run of gram + window - 1 words or more that occurs earlier (by doc_id, then line) is deleted, whatever stands
+    around it there, and with it the lines next to it that the same earlier text has. A shorter run goes only if it holds
+    a fingerprint, and never one under `gram` words. A null text stays null with 0 lines; an empty text is one blank
+    line; a null doc_id has no place in the order, so its text
     stays as it is. Equal rows are one document and are cut alike; other rows that share a doc_id are documents in
     the order of a hash of their texts. No row is ever dropped: of a whole repeated text an empty one remains. Blank lines count as no words and part no run; those inside a deleted run
     go with it, and of those next to it as many as the first occurrence has there.
@@ -126,23 +154,24 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH each AS (SELECT doc_id, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 line FROM documents WHERE text IS NOT NULL),
-plain AS (SELECT doc_id, line, raw, trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') p FROM each),
-lined AS (SELECT doc_id, line, raw, ('0x' || substr(md5(p), 1, 15))::BIGINT h, CASE WHEN p = '' THEN 0 ELSE len(string_split(p, ' ')) END n FROM plain),
-placed AS (SELECT *, greatest(n, 1) w, (sum(greatest(n, 1)) OVER (PARTITION BY doc_id ORDER BY line) - greatest(n, 1))::BIGINT s FROM lined),
-grams AS (SELECT doc_id, line, s, list(h) OVER g own, sum(n) OVER g own_words, list(h) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) bef,
-    list(h) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {GRAM + WINDOW - 2} FOLLOWING) ahead
-  FROM placed WINDOW g AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {GRAM - 1} FOLLOWING)),
-cands AS (SELECT doc_id, line, s, coalesce(bef, []) bef, coalesce(lead(ahead) OVER (PARTITION BY doc_id ORDER BY line), []) aft,
-    CASE WHEN own_words >= {GRAM} THEN {{'gram': ('0x' || substr(md5(array_to_string(own, ',')), 1, 15))::BIGINT, 'line': line}} END c FROM grams),
-least AS (SELECT DISTINCT doc_id, (min(c) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)).line line FROM cands),
-prints AS (SELECT c.gram gram, doc_id, line, list_reverse(bef) bef, aft FROM cands JOIN least USING (doc_id, line) WHERE c IS NOT NULL),
-later AS (SELECT *, first_value(doc_id) OVER f d0, first_value(line) OVER f l0, first_value(bef) OVER f b0, first_value(aft) OVER f a0 FROM prints WINDOW f AS (PARTITION BY gram ORDER BY doc_id, line)),
-runs AS (SELECT doc_id,
-    line - coalesce(list_min(list_filter(range(1, len(bef) + 1), lambda i: i > len(b0) OR bef[i] <> b0[i])) - 1, len(bef)) a,
-    line + coalesce(list_min(list_filter(range(1, len(aft) + 1), lambda i: i > len(a0) OR aft[i] <> a0[i])) - 1, len(aft)) z
-  FROM later WHERE (doc_id, line) <> (d0, l0)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) line FROM runs),
-left_over AS (SELECT l.doc_id, count(*) n_lines, count(g.line) n_deleted, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') t FROM lined l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+WITH each AS (SELECT doc_id, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos, len(string_split(text, chr(10))) n_lines FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT *, trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') p FROM each),
+lined AS (SELECT doc_id, pos, ('0x' || substr(md5(p), 1, 15))::BIGINT h, len(string_split(p, ' ')) n, row_number() OVER d - 1 line, pos - lag(pos, 1, -1) OVER d - 1 up, lead(pos, 1, n_lines) OVER d - pos - 1 down
+  FROM plain WHERE p <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+placed AS (SELECT *, (sum(n) OVER (PARTITION BY doc_id ORDER BY line) - n)::BIGINT s FROM lined),
+grams AS (SELECT doc_id, line, s, down, list(h) OVER g own, sum(n) OVER g own_words, list(h) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) bef,
+    list(up) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW) ups, list(h) OVER a ahead, list(down) OVER a downs
+  FROM placed WINDOW g AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {GRAM - 1} FOLLOWING), a AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {GRAM + WINDOW - 2} FOLLOWING)),
+cands AS (SELECT doc_id, line, s, list_reverse(coalesce(bef, [])) bef, list_reverse(ups) ups, coalesce(lead(ahead) OVER d, []) aft, [down] || coalesce(lead(downs) OVER d, []) downs,
+    CASE WHEN own_words >= {GRAM} THEN {{'gram': ('0x' || substr(md5(array_to_string(own, ',')), 1, 15))::BIGINT, 'line': line}} END c FROM grams WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+chosen AS (SELECT DISTINCT doc_id, (min(c) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)).line line FROM cands),
+prints AS (SELECT c.gram gram, doc_id, line, bef, aft, ups, downs FROM cands JOIN chosen USING (doc_id, line) WHERE c IS NOT NULL),
+sides AS (SELECT gram, doc_id, line, 'a' side, bef near, ups gaps FROM prints UNION ALL SELECT gram, doc_id, line, 'b', aft, downs FROM prints),
+depths AS (SELECT gram, doc_id, line, side, d, near[1:d] k, coalesce(gaps[d + 1], 0) gap FROM (SELECT *, unnest(range(0, len(near) + 1)) d FROM sides)),
+firsts AS (SELECT doc_id, line, side, d, gap, first_value(doc_id) OVER f d0, first_value(line) OVER f l0, first_value(gap) OVER f g0 FROM depths WINDOW f AS (PARTITION BY gram, side, d, k ORDER BY doc_id, line)),
+best AS (SELECT doc_id, line, side, max(d) d, arg_max(least(gap, g0), d) gap FROM firsts WHERE (doc_id, line) <> (d0, l0) GROUP BY ALL),
+runs AS (SELECT doc_id, CASE side WHEN 'a' THEN line - d ELSE line END a, CASE side WHEN 'a' THEN line ELSE line + d END z, CASE side WHEN 'a' THEN gap ELSE 0 END up, CASE side WHEN 'a' THEN 0 ELSE gap END down FROM best),
+gone AS (SELECT DISTINCT r.doc_id, unnest(range(f.pos - r.up, t.pos + r.down + 1)) pos FROM runs r JOIN lined f ON f.doc_id = r.doc_id AND f.line = r.a JOIN lined t ON t.doc_id = r.doc_id AND t.line = r.z),
+left_over AS (SELECT l.doc_id, count(*) n_lines, count(g.pos) n_deleted, coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') t FROM each l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_deleted, 0) n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE t END AS text FROM documents d LEFT JOIN left_over USING (doc_id)
 """
