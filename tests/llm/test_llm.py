@@ -403,7 +403,7 @@ def test_blocks_join_all_that_are_near():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 100, dtype=np.uint64)
     rows = [np.unique(np.concatenate([base[int(cut) :], rng.integers(0, 2**62, int(cut), dtype=np.uint64)])) for cut in rng.integers(0, 30, 40)]
-    found = neardup._in_cluster(pd.DataFrame({"node": range(40), "label": range(40), "hashes": [x.tobytes() for x in rows]}))
+    found = neardup._in_cluster(pd.DataFrame({"node": range(40), "label": range(40), "probe": [k > 0 for k in range(40)], "hashes": [x.tobytes() for x in rows]}))
     root = list(range(40))
     for u, v in found.to_numpy():
         assert 100 * len(np.intersect1d(rows[u], rows[v])) >= 75 * len(np.union1d(rows[u], rows[v]))
