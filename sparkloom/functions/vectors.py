@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-7
+#: Digits by which results are ranked and cut: beyond them sums depend on the order of their terms. What is shown has fewer.
+EXACT = 12
 
 
 def literal(values) -> Column:

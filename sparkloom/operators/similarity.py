@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from math import log10, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,8 +46,22 @@ def assign_with(model: KMeansModel, descriptors: DataFrame, column: str) -> Data
 
 def assign(descriptors: DataFrame, column: str, centroids: list[tuple[int, list[float]]]) -> DataFrame:
     """Adds word, the nearest of given centroids (ties: the least word), without a join: a codebook's size is bounded by its rule."""
-    near = [F.struct(F.round(vectors.squared_distance(F.col(column), vectors.literal(c)), 9).alias("d"), F.lit(w).alias("word")) for w, c in centroids]
-    return descriptors.withColumn("word", F.array_min(F.array(*near))["word"])
+    words, at = zip(*sorted(centroids), strict=True)
+    words, at = np.array(words, dtype=np.int64), np.array(at, dtype=float)
+    rows = max(1, 2_000_000 // at.size)
+
+    @F.pandas_udf("long")
+    def nearest(vectors_: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors_), dtype="Int64")
+        known = np.flatnonzero(vectors_.notna())
+        for i in range(0, len(known), rows):
+            part = known[i : i + rows]
+            x = np.stack(vectors_.iloc[part].tolist()).astype(float)
+            d = ((x[:, None, :] - at[None]) ** 2).sum(axis=2)
+            out.iloc[part] = words[d.round(9).argmin(axis=1)]
+        return out
+
+    return descriptors.withColumn("word", nearest(F.col(column)))
 
 
 def histogram(assigned: DataFrame, item: str) -> DataFrame:
@@ -83,24 +99,48 @@ def inverted_search(weighted: DataFrame, item: str, query: DataFrame, kind: str,
     else:
         hits = hits.withColumn("_n", F.lit(1.0))
     scored = hits.crossJoin(F.broadcast(q)).where("qn > 0")  # q is one row
-    return scored.select(item, F.round(F.col("_s") / (F.col("_n") * F.col("qn")), 6).alias("sim")).orderBy(F.desc("sim"), item).limit(k)
+    return _best(scored.select(item, (F.col("_s") / (F.col("_n") * F.col("qn"))).alias("sim")), item, k)
+
+
+def _best(scored: DataFrame, key: str, k: int, least: float | None = None) -> DataFrame:
+    """The k of most sim, by exact values; only the result is rounded."""
+    exact = F.round("sim", vectors.EXACT)
+    found = scored.orderBy(exact.desc(), key).limit(k)
+    return (found if least is None else found.where(exact >= least)).withColumn("sim", F.round("sim", 6))
+
 
+def exact_search(items: DataFrame, key: str, column: str, query: list[float], k: int, kind: str = "image", least: float | None = None) -> DataFrame:
+    """(key, sim) of the k nearest by cosine, of sim `least` or more. A query of zeros finds nothing among images, and everything at 0 among audio, whose vectors count as unit ones.
 
-def exact_search(items: DataFrame, key: str, column: str, query: list[float], k: int, kind: str = "image") -> DataFrame:
-    """(key, sim) of the k nearest by cosine. A query of zeros finds nothing among images, and everything at 0 among audio, whose vectors count as unit ones."""
+    A query of another dimension than a vector is cut or padded with zeros to it.
+    """
     length = sqrt(sum(x * x for x in query))
+    same = F.size(column) == len(query)
     if kind == "audio":
-        sim = vectors.dot(F.col(column), vectors.literal([x / (length or 1.0) for x in query]))
+        unit = vectors.literal([x / (length or 1.0) for x in query])
+        cut = vectors.fitted(vectors.literal(query), F.size(column))
+        sim = F.when(same, vectors.dot(F.col(column), unit)).otherwise(vectors.dot(F.col(column), cut) / F.greatest(vectors.norm(cut), F.lit(vectors.TINY)))
     elif length < vectors.TINY:
         return items.select(key, F.lit(0.0).alias("sim")).limit(0)
     else:
         own = F.greatest(vectors.norm(F.col(column)), F.lit(vectors.TINY))
-        sim = vectors.dot(F.col(column), vectors.literal(query)) / (own * length)
-    return items.select(key, F.round(sim, 6).alias("sim")).orderBy(F.desc("sim"), key).limit(k)
+        cut = vectors.fitted(vectors.literal(query), F.size(column))
+        sim = F.when(same, vectors.dot(F.col(column), vectors.literal(query)) / (own * length)).otherwise(vectors.dot(F.col(column), cut) / (own * F.greatest(vectors.norm(cut), F.lit(vectors.TINY))))
+    return _best(items.where(F.col(column).isNotNull()).select(key, sim.alias("sim")), key, k, least)
 
 
 def threshold_search(items: DataFrame, key: str, column: str, query: list[float], threshold: float = 0.5, most: int = 100) -> DataFrame:
-    return exact_search(items, key, column, query, most).where(F.col("sim") >= threshold)
+    return exact_search(items, key, column, query, most, least=threshold)
+
+
+def idf_stats(idfs: DataFrame) -> DataFrame:
+    """One row: terms, and the least, largest and mean idf."""
+    return idfs.agg(F.count("*").alias("terms"), F.round(F.min("idf"), 6).alias("min_idf"), F.round(F.max("idf"), 6).alias("max_idf"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+
+
+def enrich(found: DataFrame, items: DataFrame, key: str, kind: str) -> DataFrame:
+    """Search results with the items' columns: images without any keep their row; audio rounds sim to 4 and leaves them out."""
+    return found.join(items, key, "left") if kind == "image" else found.withColumn("sim", F.round("sim", 4)).join(items, key)
 
 
 def posting_stats(hist: DataFrame) -> DataFrame:
@@ -180,7 +220,7 @@ class SimilarityEngine:
         hist = histogram(assign_with(self.model, self.descriptors, "descriptor"), "item_id")
         query = words.join(idf(hist, self.kind, self.items.count()), "word").select("word", (F.log1p("cnt") * F.col("idf")).alias("qw"))
         found = inverted_search(self.weighted, "item_id", query, self.kind, k)
-        return found.join(self.items, "item_id", "left" if self.kind == "image" else "inner").orderBy(F.desc("sim"), "item_id")
+        return enrich(found, self.items, "item_id", self.kind).orderBy(F.desc("sim"), "item_id")
 
     def stats(self) -> dict:
         out = {"kind": self.kind, "items": self.items.count() if self.items is not None else 0, "vocabulary": len(self.model.clusterCenters()) if self.model else 0}

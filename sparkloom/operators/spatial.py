@@ -32,8 +32,9 @@ def range_search(df: DataFrame, coords: list[str], center: list[float], radius:
 def nearest(df: DataFrame, coords: list[str], point: list[float], k: int, key: str) -> DataFrame:
     """The k nearest rows with their distance, ascending; ties by key."""
     squares = sum(((F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(coords, point, strict=True)), F.lit(0.0))
-    return df.withColumn("dist", F.round(F.sqrt(squares), 6)).orderBy("dist", key).limit(k)
+    return df.withColumn("dist", F.sqrt(squares)).orderBy(F.round("dist", vectors.EXACT), key).limit(k).withColumn("dist", F.round("dist", 6))
 
 
 def nearest_array(df: DataFrame, place: str, point: list[float], k: int, key: str) -> DataFrame:
-    return df.withColumn("dist", vectors.distance(F.col(place), vectors.literal(point))).where("dist is not null").orderBy("dist", key).limit(k)
+    """The same on an array column of any number of dimensions; rows of other dimensions are not found."""
+    return df.withColumn("dist", vectors.distance(F.col(place), vectors.literal(point))).where("dist is not null").orderBy(F.round("dist", vectors.EXACT), key).limit(k)

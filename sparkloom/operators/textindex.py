@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from math import log10
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
+from sparkloom.functions import vectors
 
 
 def frequencies(docs: DataFrame, key: str, content: str, stop: list[str] | None = None, stems: bool = False) -> DataFrame:
@@ -23,9 +25,9 @@ def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
 
 
 def weights(tf: DataFrame, n_docs: int) -> DataFrame:
-    """(key, term, tf, w): terms' document counts come from a window over the shuffle that brings a term together."""
-    df = F.count("*").over(Window.partitionBy("term"))
-    return tf.withColumn("w", (1 + F.log10("tf")) * F.log10(F.lit(n_docs) / df))
+    """(key, term, tf, w). Document counts are summed in parts before their shuffle and joined back, so a frequent term's postings are never gathered."""
+    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
+    return tf.join(df, "term").withColumn("w", (1 + F.log10("tf")) * F.log10(F.lit(n_docs) / F.col("_df"))).select(*tf.columns, "w")
 
 
 def norms(weighted: DataFrame, key: str) -> DataFrame:
@@ -46,7 +48,12 @@ def search(weighted: DataFrame, key: str, terms: list[str], k: int = 10) -> Data
         of = F.when(F.col("term") == t, F.lit(q)).otherwise(of)
     sums = weighted.withColumn("_q", of).groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("_ww"), F.sum(F.when(F.col("_q") != 0, F.col("_q") * F.col("w"))).alias("_s"))
     norm = F.when(F.col("_ww") == 0, 1.0).otherwise(F.sqrt("_ww"))
-    return sums.where("_s is not null").select(key, F.round(F.col("_s") / norm, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return _best(sums.where("_s is not null").select(key, (F.col("_s") / norm).alias("score")), key, k)
+
+
+def _best(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The k of most score, by exact values; only the result is rounded."""
+    return scored.orderBy(F.round("score", vectors.EXACT).desc(), key).limit(k).withColumn("score", F.round("score", 6))
 
 
 def similarity_percent(score) -> F.Column:
@@ -54,17 +61,23 @@ def similarity_percent(score) -> F.Column:
 
 
 class TextIndex:
-    """A collection's index, its postings and norms kept as Parquet once built."""
+    """A collection's index, its postings and norms kept as Parquet once built, each build in a folder of its own.
+
+    So a search that is already planned keeps the files that it reads; `versions` are the builds of this object.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", content: str = "text", stems: bool = True):
-        self.spark, self.path, self.key, self.content, self.stems = spark, path, key, content, stems
+        self.spark, self.root, self.key, self.content, self.stems = spark, path, key, content, stems
+        self.path, self.versions = path, 0
 
     def build(self, docs: DataFrame, n_docs: int | None = None) -> None:
         """Postings clustered by term, so that a search reads the files of its terms only."""
+        self.versions += 1
+        self.path = f"{self.root}/{uuid.uuid4().hex}"
         tf = frequencies(docs, self.key, self.content, tx.stopwords(), self.stems)
         weighted = weights(tf, docs.count() if n_docs is None else n_docs)
-        weighted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
-        norms(self.spark.read.parquet(f"{self.path}/postings"), self.key).write.mode("overwrite").parquet(f"{self.path}/norms")
+        weighted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/postings")
+        norms(self.spark.read.parquet(f"{self.path}/postings"), self.key).write.parquet(f"{self.path}/norms")
 
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
@@ -82,7 +95,7 @@ class TextIndex:
         hits = self.postings().where(F.col("term").isin(list(query))).groupBy(self.key).agg(F.sum(F.element_at(of, F.col("term")) * F.col("w")).alias("_s"))
         scored = hits.join(self.spark.read.parquet(f"{self.path}/norms"), self.key, "left")
         norm = F.when(F.coalesce("norm", F.lit(0.0)) == 0, 1.0).otherwise(F.col("norm"))
-        return scored.select(self.key, F.round(F.col("_s") / norm, 6).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
+        return _best(scored.select(self.key, (F.col("_s") / norm).alias("score")), self.key, k)
 
     def stats(self) -> dict:
         """Documents with a norm, and distinct terms."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -91,10 +90,11 @@ class Catalog:
         return self.tables[name]
 
     def drop(self, name: str) -> bool:
-        """Forgets a table and deletes its files where they are local."""
+        """Forgets a table and deletes its files by the file system that holds them."""
         table = self.tables.pop(name, None)
         for p in table.paths if table else []:
-            shutil.rmtree(p.removeprefix("file://"), ignore_errors=True)
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return table is not None
 
     # reads
