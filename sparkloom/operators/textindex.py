@@ -26,7 +26,8 @@ def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
 
 def weights(tf: DataFrame, n_docs: int) -> DataFrame:
     """(key, term, tf, w). Document counts are summed in parts before their shuffle and joined back, so a frequent term's postings are never gathered."""
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
+    # A sum that needs tf, so that both sides have the same columns and Spark makes the frequencies once.
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("_df"))
     return tf.join(df, "term").withColumn("w", (1 + F.log10("tf")) * F.log10(F.lit(n_docs) / F.col("_df"))).select(*tf.columns, "w")
 
 
