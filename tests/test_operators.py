@@ -66,3 +66,37 @@ def test_engine(spark, tmp_path):
     best = e.search(descriptors.where("item_id = 3"), 3).collect()
     assert best[0]["name"] == "n3" and best[0]["sim"] == pytest.approx(1.0, abs=1e-5)
     assert e.stats()["items"] == 6
+
+
+def test_near_ties_are_ranked_by_exact_values(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0006]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "id int, v array<double>")
+    assert [r["id"] for r in similarity.exact_search(rows, "id", "v", [1.0, 0.0], 2).collect()] == [2, 1]
+    assert [r["id"] for r in similarity.threshold_search(rows, "id", "v", [1.0, 0.0], 0.9999999).collect()] == [2]
+    places = spark.createDataFrame([(1, 1.0000002, 0.0), (2, 1.0000001, 0.0)], "id int, x double, y double")
+    assert [r["id"] for r in spatial.nearest(places, ["x", "y"], [0.0, 0.0], 1, "id").collect()] == [2]
+
+
+@pytest.mark.parametrize("kind", ["image", "audio"])
+def test_a_query_is_cut_or_padded(spark, kind):
+    rows = spark.createDataFrame([(1, [3.0, 4.0, 0.0]), (2, [0.6, 0.8])], "id int, v array<double>")
+    found = {n: {r["id"]: r["sim"] for r in similarity.exact_search(rows, "id", "v", q, 5, kind).collect()} for n, q in (("short", [1.0]), ("long", [3.0, 4.0, 0.0, 7.0]))}
+    scale = 1.0 if kind == "image" else 5.0
+    assert found["short"] == pytest.approx({1: 0.6 * scale, 2: 0.6}) and found["long"] == pytest.approx({1: scale, 2: 1.0})
+
+
+def test_assign_keeps_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(1, [0.5]), (2, None), (3, [1.9])], "id int, v array<float>")
+    assert {r["id"]: r["word"] for r in similarity.assign(rows, "v", [(7, [1.0]), (4, [0.0])]).collect()} == {1: 4, 2: None, 3: 7}
+
+
+def test_index_versions(spark, tmp_path):
+    index = textindex.TextIndex(spark, f"file://{tmp_path}", stems=False)
+    index.build(spark.createDataFrame([(1, "alfa beta"), (2, "gama delta")], "doc_id int, text string"))
+    planned = index.search("alfa")
+    index.build(spark.createDataFrame([(3, "alfa beta"), (4, "omega")], "doc_id int, text string"))
+    assert [r["doc_id"] for r in planned.collect()] == [1] and [r["doc_id"] for r in index.search("alfa").collect()] == [3]
+
+
+def test_nearest_in_three_dimensions(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0, 3.0]), (2, [0.0, 4.0, 3.0]), (3, [0.0, 0.0])], "id int, p array<double>")
+    assert [(r["id"], r["dist"]) for r in spatial.nearest_array(rows, "p", [0.0, 0.0, 0.0], 5, "id").collect()] == [(1, 3.0), (2, 5.0)]
