@@ -101,9 +101,10 @@ def execute(catalog: Catalog, query):
         return f"table '{query.table}' is created"
     if isinstance(query, ast.CreateFromFile):
         columns = files.csv_columns(catalog.spark, query.path, query.column, query.index)
-        good, _ = files.read_csv(catalog.spark, query.path, columns)
+        good, bad = files.read_csv(catalog.spark, query.path, columns)
         catalog.create(query.table, columns)
-        return f"table '{query.table}' is created with {catalog.append(query.table, good)} rows"
+        said, left_out = f"table '{query.table}' is created with {catalog.append(query.table, good)} rows", bad.count()
+        return f"{said}; {left_out} rows could not be read" if left_out else said
     if isinstance(query, ast.Insert):
         if not catalog.insert(query.table, query.values):
             raise ValueError(f"the row was not inserted into '{query.table}': its key may be there already")

@@ -113,3 +113,11 @@ def test_csv(spark, tmp_path):
     assert out["inserted"] == 2 and out["errors"][0]["id"] == "3"
     assert e.execute_sql("SELECT price FROM x WHERE id = 2;").collect() == [{"price": 0.0}]
     assert e.preview("x", 1)["truncated"]
+
+
+def test_rows_that_cannot_be_read_are_told(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,price\n1,2.5\nbad,3.5\n3,4.5\n")
+    engine = Engine(spark)
+    said = engine.execute_sql(f"CREATE TABLE x FROM FILE 'file://{tmp_path}/x.csv' USING INDEX ISAM('id');")
+    assert said.success and "2 rows; 1 rows could not be read" in str(said.result)
+    assert sorted(r["id"] for r in engine.execute_sql("SELECT id FROM x;").result.collect()) == [1, 3]
