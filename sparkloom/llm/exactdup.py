@@ -180,7 +180,9 @@ def exact_duplicates(docs: DataFrame, prints: Callable[[bytes], Print] = fingerp
     twice = common.stored(printed.groupBy(*_KEY).agg(F.count("*").alias("m")).where("m > 1"), "candidates")
     alone = printed.join(twice, _KEY, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
-    wanted = common.stored(printed.join(twice, _KEY).distinct(), "wanted").withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
+    # Stored before repeated rows are made one: that would go on in the join's own tasks, and Spark could not split them.
+    paired = common.stored(printed.join(twice, _KEY), "paired")
+    wanted = common.stored(paired.distinct(), "wanted").withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.ceil(F.sqrt("m")))
     texts = texts.select("doc_id", "n_points", *_KEY, "text_sha256", salt.alias("salt"), F.translate(F.coalesce("text", F.lit("")), SPACE, "").cast("binary").alias("data"))
