@@ -183,7 +183,8 @@ def exact_duplicates(docs: DataFrame, prints: Callable[[bytes], Print] = fingerp
     # Stored before repeated rows are made one: that would go on in the join's own tasks, and Spark could not split them.
     paired = common.stored(printed.join(twice, _KEY), "paired")
     wanted = common.stored(paired.distinct(), "wanted").withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    # By shuffle at every size: the candidates grow with the documents, so no bound would let them be broadcast.
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.ceil(F.sqrt("m")))
     texts = texts.select("doc_id", "n_points", *_KEY, "text_sha256", salt.alias("salt"), F.translate(F.coalesce("text", F.lit("")), SPACE, "").cast("binary").alias("data"))
     part = [*_KEY, "salt"]
