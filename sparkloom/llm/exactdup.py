@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,11 +92,15 @@ def _prints_of(docs: DataFrame, prints: Callable[[bytes], Print]) -> DataFrame:
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(PRINTED)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            data = [normal(t) for t in texts]
-            a, b, n = zip(*map(prints, data), strict=True) if data else ((), (), ())
-            columns = [[len(t or "") for t in texts], a, b, n, [hashlib.sha256(d).hexdigest() for d in data]]
+            rows = []
+            for x in batch.column(2):  # one text at a time: a batch may hold tens of MB
+                text = x.as_py()
+                data = normal(text)
+                rows.append((len(text or ""), *prints(data), hashlib.sha256(data).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, type=f.type) for c, f in zip(columns, list(out)[2:], strict=True))], schema=out)
+            x = text = data = batch = None
+            common.give_back_memory()
 
     return docs.mapInArrow(printed, PRINTED)
 
@@ -157,8 +162,10 @@ def _compared(group: list[str], number: str, shape: T.StructType) -> Callable[[I
             columns = []
             for f in out:
                 column = pa.array(at, type=f.type) if f.name == number else batch.column(batch.schema.get_field_index(f.name))
-                columns.append(pa.array([x.as_py() if y else None for x, y in zip(column, first, strict=True)], type=f.type) if f.name == "data" else column.cast(f.type))
+                columns.append(pc.if_else(pa.array(first, pa.bool_()), column, pa.scalar(None, column.type)).cast(f.type) if f.name == "data" else column.cast(f.type))
             yield pa.RecordBatch.from_arrays(columns, schema=out)
+            data = own = column = columns = batch = None
+            common.give_back_memory()
 
     return run
 

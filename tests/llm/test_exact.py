@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import exactdup
@@ -51,3 +53,30 @@ def test_parts_of_huge_texts_have_the_whole_print(spark):
 
 def test_empty_table(spark):
     assert exactdup.exact_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+class Batches:
+    """Stands for a data frame; gives the function that a task runs."""
+
+    def mapInArrow(self, run, shape):
+        return run
+
+
+@pytest.mark.parametrize("what", ["prints", "compared"])
+def test_a_batch_is_not_held_again_as_python_objects(what):
+    n, texts = 200, [f"{i} " * 20_000 for i in range(200)]
+    if what == "prints":
+        run = exactdup._prints_of(Batches(), exactdup.fingerprint)
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "mark": [0] * n, "text": texts})
+    else:
+        run = exactdup._compared(["fp_a", "fp_b", "n_bytes", "salt"], "rep", exactdup.COMPARED)
+        numbers = {f.name: [0] * n for f in exactdup.COMPARED if f.name not in ("text_sha256", "data")}
+        batch = pa.RecordBatch.from_pydict(numbers | {"fp_a": list(range(n)), "text_sha256": [""] * n, "data": [t.encode() for t in texts]})
+    del texts
+    tracemalloc.start()
+    (out,) = run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n and peak < batch.nbytes / 4
+    if what == "compared":
+        assert out.column("data").to_pylist() == batch.column("data").to_pylist()
