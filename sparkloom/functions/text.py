@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from sparkloom.functions.stemmer import stem
 
 #: Fixed value: what is neither a term's character nor white space.
 NOT_TERM = r"[^a-záéíóúñ0-9\s]"
+#: A worker remembers the stems of so many words, none of more characters; the others are stemmed again.
+REMEMBERED, REMEMBERED_LENGTH = 2**17, 64
 
 
 def stopwords() -> list[str]:
@@ -29,13 +34,26 @@ def terms(text: Column, stop: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
+@lru_cache(REMEMBERED)
+def _remembered(word: str) -> str:
+    return stem(word)
+
+
+def stem_lists(found: pa.Array) -> pa.Array:
+    """Stems of a batch of lists; each distinct word of a batch is stemmed once at most, those met before in this worker mostly not at all."""
+    words = found.flatten().dictionary_encode()
+    known = pa.array([w if w is None else _remembered(w) if len(w) <= REMEMBERED_LENGTH else stem(w) for w in words.dictionary.to_pylist()], words.dictionary.type)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(found), 0).cast(pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, known.take(words.indices), mask=found.is_null() if found.null_count else None)
+
+
 def stemmed(found: Column) -> Column:
-    """Stems of an array of terms; each distinct word of a batch is stemmed once."""
+    """Stems of an array of terms."""
 
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        known = {w: stem(w) for ws in batch for w in ws}
-        return batch.map(lambda ws: [known[w] for w in ws])
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        return stem_lists(batch)
 
     return run(found)
 

@@ -128,11 +128,15 @@ _W = _TF + """, df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
 w AS (SELECT tf.doc_id, term, (1 + log10(tf)) * log10((SELECT count(*) FROM documents) / df) w FROM tf JOIN df USING (term))"""
 
 
-def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
     if len(docs.inputFiles()) < cores // 2 and docs.rdd.getNumPartitions() < cores:  # a table of few files only, so that all cores work
         docs = docs.repartition(cores)
-    return textindex.frequencies(docs, "doc_id", "text")
+    return docs
+
+
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textindex.frequencies(_texts(spark, sf_dir), "doc_id", "text")
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +181,8 @@ def text_stopwords(spark, sf_dir):
 
 @query()
 def text_stems(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(F.array_distinct(tx.preprocess(F.col("text")))).alias("n_stems"))
+    found = F.array_distinct(tx.terms(F.col("text"), tx.stopwords()))  # a repeated term has the same stem
+    return _texts(spark, sf_dir).select("doc_id", F.size(F.array_distinct(tx.stemmed(found))).alias("n_stems"))
 
 
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

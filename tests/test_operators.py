@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.functions.stemmer import stem
 from sparkloom.functions.text import preprocess, stopwords
 from sparkloom.operators import similarity, spatial, structures, textindex
@@ -100,3 +101,22 @@ def test_index_versions(spark, tmp_path):
 def test_nearest_in_three_dimensions(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0, 3.0]), (2, [0.0, 4.0, 3.0]), (3, [0.0, 0.0])], "id int, p array<double>")
     assert [(r["id"], r["dist"]) for r in spatial.nearest_array(rows, "p", [0.0, 0.0, 0.0], 5, "id").collect()] == [(1, 3.0), (2, 5.0)]
+
+
+def test_each_distinct_word_is_stemmed_once(monkeypatch):
+    pa, asked = pytest.importorskip("pyarrow"), []
+    monkeypatch.setattr(text, "stem", lambda w: asked.append(w) or stem(w))
+    text._remembered.cache_clear()
+    long = "perros" * 20
+    lists = [["perros", "cheque"] * 500, None, [], ["cheque", "perros", long, None, long]]
+    want = [None if ws is None else [w and stem(w) for w in ws] for ws in lists]
+    assert text.stem_lists(pa.array(lists, pa.list_(pa.string()))).to_pylist() == want
+    assert sorted(asked) == sorted(["perros", "cheque", long])
+    assert text.stem_lists(pa.array(lists, pa.list_(pa.string())).slice(1, 3)).to_pylist() == want[1:]
+    assert sorted(asked) == sorted(["perros", "cheque", long, long])
+    text._remembered.cache_clear()
+
+
+def test_stems_of_columns(spark):
+    rows = spark.createDataFrame([(1, "Los perros, el perro y más perros"), (2, None), (3, ""), (4, "corriendo cheque")], "doc_id int, text string")
+    assert {r["doc_id"]: r["t"] for r in rows.select("doc_id", preprocess(F.col("text")).alias("t")).collect()} == {1: ["perr", "perr", "perr"], 2: [], 3: [], 4: ["corr", "chequ"]}
