@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
@@ -48,6 +49,15 @@ def stem_lists(found: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, known.take(words.indices), mask=found.is_null() if found.null_count else None)
 
 
+def counted(found: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of lists of terms: its distinct terms, and by list and term the list's number, the term's, and how often it occurs."""
+    words = found.flatten().dictionary_encode()
+    lists = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    n = max(len(words.dictionary), 1)
+    pairs, tf = np.unique(lists * n + words.indices.to_numpy(), return_counts=True)
+    return words.dictionary, pairs // n, pairs % n, tf
+
+
 def stemmed(found: Column) -> Column:
     """Stems of an array of terms."""
 

@@ -139,10 +139,6 @@ def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textindex.frequencies(_texts(spark, sf_dir), "doc_id", "text")
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textindex.weights(_frequencies(spark, sf_dir), table(spark, sf_dir, "documents").count())
-
-
 @query(_TF + " SELECT doc_id, term, tf FROM tf")
 def text_tf(spark, sf_dir):
     return _frequencies(spark, sf_dir)
@@ -156,7 +152,7 @@ def text_df_idf(spark, sf_dir):
 
 @query(_W + " SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM w GROUP BY 1")
 def text_norms(spark, sf_dir):
-    return textindex.norms(_weights(spark, sf_dir), "doc_id").withColumn("norm", F.round("norm", 6))
+    return textindex.norms(textindex.sums(textindex.weights(_frequencies(spark, sf_dir), table(spark, sf_dir, "documents").count()), "doc_id", {}), "doc_id").withColumn("norm", F.round("norm", 6))
 
 
 @query(_TF + " SELECT DISTINCT term FROM tf")
@@ -168,7 +164,7 @@ def text_vocabulary(spark, sf_dir):
 s AS (SELECT doc_id, round(sum((1 + log10(qtf)) * w) / CASE WHEN any_value(norm) = 0 THEN 1.0 ELSE any_value(norm) END, 6) score FROM w JOIN q USING (term) JOIN nm USING (doc_id) GROUP BY 1)
 SELECT doc_id, score, round(score * 100, 2) AS percent FROM s ORDER BY score DESC, doc_id LIMIT 10""")
 def text_search_topk(spark, sf_dir):
-    found = textindex.search(_weights(spark, sf_dir), "doc_id", TERMS)
+    found = textindex.search(_texts(spark, sf_dir), "doc_id", "text", TERMS)
     return found.withColumn("percent", textindex.similarity_percent(F.col("score")))
 
 

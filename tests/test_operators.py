@@ -5,6 +5,7 @@ from sparkloom.functions import text
 from sparkloom.functions.stemmer import stem
 from sparkloom.functions.text import preprocess, stopwords
 from sparkloom.operators import similarity, spatial, structures, textindex
+from sparkloom.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +121,38 @@ def test_each_distinct_word_is_stemmed_once(monkeypatch):
 def test_stems_of_columns(spark):
     rows = spark.createDataFrame([(1, "Los perros, el perro y más perros"), (2, None), (3, ""), (4, "corriendo cheque")], "doc_id int, text string")
     assert {r["doc_id"]: r["t"] for r in rows.select("doc_id", preprocess(F.col("text")).alias("t")).collect()} == {1: ["perr", "perr", "perr"], 2: [], 3: [], 4: ["corr", "chequ"]}
+
+
+TEXTS = [(1, "alfa alfa beta gama"), (2, "alfa beta"), (3, "beta delta delta"), (4, None), (5, " "), (None, "alfa omega"), (7, "beta"), (8, "alfa beta epsilon epsilon epsilon")]
+
+
+def summed(docs, query):
+    return {r["doc_id"]: (round(r["_ww"], 9), None if r["_s"] is None else round(r["_s"], 9)) for r in textindex.text_sums(docs, "doc_id", "text", query).collect()}
+
+
+@pytest.mark.parametrize("most", [2**18, 1, 0])
+def test_frequent_terms_change_the_way_not_the_sums(spark, monkeypatch, most):
+    query = textindex.query_weights(["alfa", "omega", "omega", "nowhere"])
+    docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    weighted = textindex.weights(textindex.frequencies(docs, "doc_id", "text"), len(TEXTS))
+    want = {r["doc_id"]: (round(r["_ww"], 9), None if r["_s"] is None else round(r["_s"], 9)) for r in textindex.sums(weighted, "doc_id", query).collect()}
+    monkeypatch.setattr(textindex, "FREQUENT_TERMS", most)
+    assert summed(docs, query) == want and want[7][1] is None and 4 not in want and 5 not in want
+    twice = spark.createDataFrame([(1, "alfa beta"), (1, "alfa alfa"), (None, "beta"), (None, "gama beta"), (3, "alfa")], "doc_id int, text string")
+    weighted = textindex.weights(textindex.frequencies(twice, "doc_id", "text"), 5)
+    assert summed(twice, query) == {r["doc_id"]: (round(r["_ww"], 9), None if r["_s"] is None else round(r["_s"], 9)) for r in textindex.sums(weighted, "doc_id", query).collect()}
+    assert textindex.text_sums(docs.where("false"), "doc_id", "text", query).isEmpty()
+
+
+def test_frequent_terms_leave_one_row_a_text():
+    pa, np = pytest.importorskip("pyarrow"), pytest.importorskip("numpy")
+    lists = pa.array([["a1", "b1", "a1", "c1"], None, [], ["c1"], ["b1"]], pa.list_(pa.string()))
+    rows = textindex.weighed(lists, pa.array(["a1", "b1"]), np.array([0.5, 0.25]), {"b1": 2.0, "x": 1.0}).to_pylist()
+    assert [[(r["term"], r["tf"]) for r in x] for x in rows] == [[("c1", 1), (None, None)], [], [], [("c1", 1)], [(None, None)]]
+    assert rows[0][1]["ww"] == pytest.approx(((1 + np.log10(2)) * 0.5) ** 2 + 0.0625) and rows[0][1]["s"] == 0.5 and rows[4][0] == {"term": None, "tf": None, "ww": 0.0625, "s": 0.5}
+
+
+@pytest.mark.parametrize("name", ["text_search_topk"])
+def test_postings_are_not_gathered_by_term_for_a_join(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
