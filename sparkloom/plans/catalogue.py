@@ -152,7 +152,7 @@ def text_df_idf(spark, sf_dir):
 
 @query(_W + " SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM w GROUP BY 1")
 def text_norms(spark, sf_dir):
-    return textindex.norms(textindex.sums(textindex.weights(_frequencies(spark, sf_dir), table(spark, sf_dir, "documents").count()), "doc_id", {}), "doc_id").withColumn("norm", F.round("norm", 6))
+    return textindex.norms(textindex.text_sums(_texts(spark, sf_dir), "doc_id", "text", {}), "doc_id").withColumn("norm", F.round("norm", 6))
 
 
 @query(_TF + " SELECT DISTINCT term FROM tf")

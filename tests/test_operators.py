@@ -152,7 +152,7 @@ def test_frequent_terms_leave_one_row_a_text():
     assert rows[0][1]["ww"] == pytest.approx(((1 + np.log10(2)) * 0.5) ** 2 + 0.0625) and rows[0][1]["s"] == 0.5 and rows[4][0] == {"term": None, "tf": None, "ww": 0.0625, "s": 0.5}
 
 
-@pytest.mark.parametrize("name", ["text_search_topk"])
+@pytest.mark.parametrize("name", ["text_norms", "text_search_topk"])
 def test_postings_are_not_gathered_by_term_for_a_join(spark, name):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
